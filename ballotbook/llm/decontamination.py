@@ -182,27 +182,14 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 1 << 19
-) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+    ).filter(F.col("item_id").isNotNull())
 
-    ``spans`` are the hit word ranges, [from, to) pairs of little-endian 64-bit integers.
-    """
-    spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "decontamination")
-    items = ws.keep(
-        benchmark.select(
-            F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-        ).filter(F.col("item_id").isNotNull()),
-        "items",
-    )
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
-    found = rows.withColumn("spans", F.lit(b"")).withColumn("items", F.array().cast("array<long>"))
-    passes = 0
+
+def _prepared(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[list[Windows]]:
+    """The windows of each block with their rarest tokens, by counts over all documents."""
     for block in _blocks(items, block_words):
         by_length: dict[int, list] = {}
         for item, own in block:
@@ -217,10 +204,30 @@ def contamination(
         shared = {n: Tokens(h) for n, h in tables.items()}
         counts = {n: np.zeros(len(h), np.int64) for n, h in tables.items()}
         # At most one row for each token of the block.
-        for r in _count_tokens(rows, spark.sparkContext.broadcast(shared)).collect():
+        for r in _count_tokens(docs, docs.sparkSession.sparkContext.broadcast(shared)).collect():
             counts[r["n"]][r["token"]] = r["c"]
         for w in windows:
             w.set_prefixes(counts[w.shingle][np.searchsorted(tables[w.shingle], w.tokens.hashes)])
+        yield windows
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 1 << 19
+) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+
+    ``spans`` are the hit word ranges, [from, to) pairs of little-endian 64-bit integers.
+    """
+    spark: SparkSession = docs.sparkSession
+    ws = Workspace(spark, "decontamination")
+    items = ws.keep(_items(benchmark), "items")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    )
+    found = rows.withColumn("spans", F.lit(b"")).withColumn("items", F.array().cast("array<long>"))
+    passes = 0
+    for windows in _prepared(rows, items, window, shingle, block_words):
         if passes:
             found = ws.keep(found.drop("n_words"), "found")
         found = _match(found, spark.sparkContext.broadcast(windows))
@@ -251,11 +258,28 @@ def contamination(
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark window occurs, all columns; rows without id stay."""
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 1 << 19
+) -> DataFrame:
+    """The documents in which no benchmark window occurs, all columns, in one pass per block without a join."""
     ws = Workspace(docs.sparkSession, "decontaminate")
-    hit = ws.keep(
-        contamination(docs, benchmark, **options).filter("contaminated").select("doc_id").filter("doc_id is not null").distinct(),
-        "hit",
-    )
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    items = ws.keep(_items(benchmark), "items")
+    names, at = docs.columns, docs.columns.index("text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    out = docs
+    for windows in _prepared(docs, items, window, shingle, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for first, _, data, offsets in W.chunks(batch.column(at)):
+                    _, _, hashes, counts = W.split_words(data, offsets, W.ALNUM)
+                    edges = np.concatenate([[0], np.cumsum(counts)])
+                    for w in sent.value:
+                        start, _ = w.occurrences(hashes, counts)
+                        clean[first + np.searchsorted(edges, start, side="right") - 1] = False
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean)) for c in batch.columns], names=names)
+
+        out = out.mapInArrow(run, schema)
+    return out

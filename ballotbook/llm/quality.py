@@ -121,9 +121,9 @@ class Rule:
             out &= (x[:, k] > t) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         parts = [
-            (F.col(STATISTICS[k]) > F.lit(t)) if above else (F.col(STATISTICS[k]) <= F.lit(t))
+            (F.col(prefix + STATISTICS[k]) > F.lit(t)) if above else (F.col(prefix + STATISTICS[k]) <= F.lit(t))
             for k, above, t in self.terms
         ]
         return reduce(lambda a, b: a & b, parts)
@@ -199,11 +199,11 @@ class RuleModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * r.values(x) for w, r in self.rules), np.zeros(len(x))))))
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         """The score as a Spark expression over the statistics' columns."""
         total = F.lit(self.intercept)
         for w, rule in self.rules:
-            total = total + F.when(rule.column(), F.lit(w)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(prefix), F.lit(w)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -223,37 +223,51 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Fit on at most ``sample`` labelled rows, the first in hash order of their ids."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = (
-        stats.join(marks.filter("quality in (0, 1)"), "doc_id")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
+    """Fit on the documents of at most ``sample`` labels, the first in hash order of their ids."""
+    marks = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+        .filter("quality in (0, 1)")
         .filter(~held_out())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *STATISTICS)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample)
-        .select("quality", *STATISTICS)
-        .collect()  # at most ``sample`` rows
     )
-    values = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(STATISTICS))
-    return fit_rules(values[:, 1:], values[:, 0])
+    chosen = docs.join(F.broadcast(marks.select("doc_id").distinct()), "doc_id", "left_semi")  # ``sample`` rows at most
+    rows = document_statistics(chosen).join(F.broadcast(marks), "doc_id").select("doc_id", "quality", *STATISTICS).collect()
+    values = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, 2 + len(STATISTICS))
+    return fit_rules(values[:, 2:], values[:, 1])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    ws = Workspace(docs.sparkSession, "quality")
-    stats = ws.keep(document_statistics(docs), "statistics")
-    model = train(stats, labels, sample)
-    return stats.select("doc_id", held_out().alias("held_out"), model.column().alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
+    Workspace(docs.sparkSession, "quality")
+    model = train(docs, labels, sample)
+    return (
+        document_statistics(docs)
+        .select("doc_id", held_out().alias("held_out"), model.column().alias("score"))
+        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     )
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents with a score of ``threshold`` or more, all columns; rows without id stay."""
-    ws = Workspace(docs.sparkSession, "quality-filter")
-    rejected = ws.keep(
-        score_quality(docs, labels, threshold)
-        .filter("predicted = 0 and doc_id is not null").select("doc_id").distinct(),
-        "rejected",
-    )
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, all columns, in one pass without a join."""
+    Workspace(docs.sparkSession, "quality-filter")
+    model = train(docs, labels, sample)
+    prefix = "__ballotbook_"
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in W.chunks(batch.column(at)):
+                found = statistics(data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c[first:end] for c in batch.columns),
+                        *(pa.array(found[:, k]) for k in range(len(STATISTICS))),
+                    ],
+                    names=[*names, *(prefix + s for s in STATISTICS)],
+                )
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"{prefix}{s} double" for s in STATISTICS])
+    return docs.mapInArrow(run, schema).filter(model.column(prefix) >= threshold).select(*names)

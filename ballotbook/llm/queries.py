@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -24,6 +30,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_cut")
+
+
+#: The query's own key; a deployment passes a secret one.
+SURROGATE_KEY = b"ballotbook surrogates"
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_personal_data
+
+    found = replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return found.select("doc_id", "text", "n_entities")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -65,8 +88,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_passages": op1_passages,
         "op2_minhash": op2_minhash,
         "op3_decontamination": op3_decontamination,
+        "op4_lines": op4_lines,
+        "op5_surrogates": op5_surrogates,
         "op6_sharding": op6_sharding,
         "op7_quality": op7_quality,
         "op8_warc": op8_warc,
