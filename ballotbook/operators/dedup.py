@@ -83,6 +83,5 @@ def folded(df: DataFrame, key: str, columns: list[str], order: str = "ord") -> D
     blank = (F.coalesce(F.col(columns[0]), F.lit("")) == "") & (F.coalesce(F.col(columns[1]), F.lit("")) == "")
     seen = df.filter(~blank).groupBy(key, *columns).agg(F.min(order).alias("__ord"))
     rows = seen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__ord", *columns))).alias("__rows"))
-    return rows.select(
-        key, *[F.array_join(F.array_distinct(F.transform("__rows", lambda r, c=c: r[c])), ";").alias(c) for c in columns]
-    )
+    seen_values = [F.array_join(F.array_distinct(F.col(f"__rows.{c}")), ";").alias(c) for c in columns]
+    return rows.select(key, *seen_values)

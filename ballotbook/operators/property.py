@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import compose_street, house_number, normalize_street, residential, street_variants, unit
+from ..functions.address import compose_street, house_number, let, normalize_street, residential, street_variants, unit
 from ..functions.text import field, zip5
 from .dedup import folded, prefer
 
@@ -18,37 +18,43 @@ LEVELS = ["num_street_unit_zip", "num_street_zip", "num_street_unit", "num_stree
 
 
 def _keys(number: Column, forms: Column, unit_text: Column, zip_code: Column) -> Column:
-    """Array of (variant, level_no, label, key) for the forms of a street; levels without their parts are left out."""
-    num, un, zc = house_number(number), unit(unit_text), zip5(zip_code)
+    """Array of (variant, level_no, label, key) for the forms of a street; levels without their parts are left out.
+
+    ``number``, ``unit_text`` and ``zip_code`` are normalised already; the forms are normalised once more.
+    """
 
     def of(form: Column, i: Column) -> Column:
-        st = normalize_street(form["street"])
-        made = [
-            F.when((un != "") & (zc != ""), F.concat_ws(" ", num, st, un, zc)),
-            F.when(zc != "", F.concat_ws(" ", num, st, zc)),
-            F.when(un != "", F.concat_ws(" ", num, st, un)),
-            F.concat_ws(" ", num, st),
-        ]
-        return F.filter(
-            F.array(*[
+        def keys(st: Column) -> Column:
+            made = [
+                F.when((unit_text != "") & (zip_code != ""), F.concat_ws(" ", number, st, unit_text, zip_code)),
+                F.when(zip_code != "", F.concat_ws(" ", number, st, zip_code)),
+                F.when(unit_text != "", F.concat_ws(" ", number, st, unit_text)),
+                F.concat_ws(" ", number, st),
+            ]
+            levels = F.array(*[
                 F.struct(i.alias("variant"), F.lit(k).alias("level_no"), F.concat(F.lit(LEVELS[k]), form["label"]).alias("label"), key.alias("key"))
                 for k, key in enumerate(made)
-            ]),
-            lambda x: x["key"].isNotNull() & (st != "") & (num != ""),
-        )
+            ])
+            return F.filter(levels, lambda x: x["key"].isNotNull() & (st != "") & (number != ""))
+
+        return let(normalize_street(form["street"]), keys)
 
     return F.flatten(F.transform(forms, of))
 
 
 def property_keys(properties: DataFrame) -> DataFrame:
     """(level_no, key, prop columns): one property per key, residential ones first, then the earliest (W-04, D19)."""
-    base = compose_street("prefix", "street", "suffix")
-    bare = compose_street("prefix", "street", F.lit(""))
-    forms = F.concat(street_variants(base, True), F.filter(F.array(F.struct(bare.alias("street"), F.lit("").alias("label"))), lambda x: x["street"] != base))
-    rows = properties.withColumn("__base", base).withColumn("k", F.explode(_keys(F.col("number"), forms, F.col("unit"), F.col("zip"))))
+    rows = (
+        properties.withColumn("__base", compose_street("prefix", "street", "suffix"))
+        .withColumn("__bare", compose_street("prefix", "street", F.lit("")))
+        .withColumn("__number", house_number("number")).withColumn("__unit", unit("unit")).withColumn("__zip", zip5("zip"))
+        .withColumn("is_residential", residential("state_codes", "type_desc"))
+    )
+    other = F.when((F.col("__bare") != F.col("__base")) & (F.col("__bare") != ""), F.array(F.struct(F.col("__bare").alias("street"), F.lit("").alias("label")))).otherwise(F.array())
+    rows = rows.withColumn("__forms", F.concat(street_variants("__base", True), other))
+    rows = rows.withColumn("k", F.explode(_keys(F.col("__number"), F.col("__forms"), F.col("__unit"), F.col("__zip"))))
     rows = rows.select(
-        F.col("k.level_no").alias("level_no"), F.col("k.key").alias("key"), "prop_id", "type_desc", "state_codes", "ord",
-        residential("state_codes", "type_desc").alias("is_residential"),
+        F.col("k.level_no").alias("level_no"), F.col("k.key").alias("key"), "prop_id", "type_desc", "state_codes", "ord", "is_residential",
     )
     return prefer(rows, ["level_no", "key"], F.col("is_residential"))
 
@@ -59,8 +65,10 @@ def match_properties(voters: DataFrame, properties: DataFrame) -> DataFrame:
     Columns: vuid, prop_id, level, is_residential, type_desc, state_codes; null where no key has one.
     """
     open_rows = voters.filter(~F.col("confidential"))
-    forms = street_variants(F.col("street"))
-    keys = open_rows.select("vuid", F.explode(_keys(F.col("number"), forms, F.col("unit"), F.col("zip"))).alias("k")).select(
+    ready = open_rows.select(
+        "vuid", street_variants("street").alias("forms"), house_number("number").alias("number"), unit("unit").alias("unit"), zip5("zip").alias("zip")
+    )
+    keys = ready.select("vuid", F.explode(_keys(F.col("number"), F.col("forms"), F.col("unit"), F.col("zip"))).alias("k")).select(
         "vuid", F.col("k.level_no").alias("level_no"), F.col("k.key").alias("key"),
         (F.col("k.variant") * 4 + F.col("k.level_no")).alias("rank"), F.col("k.label").alias("level"),
     )

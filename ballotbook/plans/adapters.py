@@ -85,7 +85,7 @@ _STYLES = "SELECT CAST(p_partkey AS BIGINT) AS ord, p_brand AS style, CAST(p_siz
 _DETAIL = """
 SELECT l_orderkey % 16 AS file,
   CAST(l_orderkey AS BIGINT) AS k1, CAST(l_linenumber AS BIGINT) AS k2, CAST(l_partkey AS BIGINT) AS k3, CAST(l_suppkey AS BIGINT) AS k4,
-  CAST(l_extendedprice * 100 AS BIGINT) AS k5, CAST(l_quantity AS BIGINT) AS k6,
+  CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS k5, CAST(l_quantity AS BIGINT) AS k6,
   CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS seq_text, CAST(l_linenumber AS BIGINT) AS seq,
   concat('C', CAST(l_partkey % 8 AS VARCHAR(9))) AS contest, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_partkey % 40 AS BIGINT) END AS row_no,
   CASE WHEN l_suppkey % 9 = 0 AND l_partkey % 2 = 0 THEN NULL ELSE CAST(l_suppkey % 10 AS BIGINT) END AS col_no

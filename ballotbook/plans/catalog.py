@@ -592,8 +592,8 @@ def street_variants(t: Tables) -> DataFrame:
 @query(FREEFORM)
 def freeform_address(t: Tables) -> DataFrame:
     line = F.concat_ws(" ", "number", "pre", "name1", "type", "unit", F.lit(", Austin TX"), "zip")
-    parts = A.freeform(line, F.lit("Kyle"), F.lit(""))
-    return t.registration.select("ord", *[c.alias(n) for n, c in parts.items()])
+    rows = t.registration.select("ord", line.alias("line"), F.lit("Kyle").alias("town"), F.lit("").alias("code"))
+    return A.freeform(rows, "line", "town", "code").select("ord", "number", "street", "unit", "city", "zip")
 
 
 @query(
@@ -627,9 +627,10 @@ def compose_address(t: Tables) -> DataFrame:
 
 
 def _voters(t: Tables) -> DataFrame:
-    names = {"number": "number", "pre": "pre", "name1": "name1", "type": "type", "unit": "unit", "city": "city", "zip": "zip"}
-    parts = A.voter_address({k: F.col(v) for k, v in names.items()})
-    return dedup.first_wins(t.registration, ["vuid"]).select("vuid", *[c.alias(n) for n, c in parts.items()])
+    names = ["number", "pre", "name1", "type", "unit", "city", "zip"]
+    rows = dedup.first_wins(t.registration, ["vuid"]).select("vuid", *names)
+    found = A.voter_address(rows, {n: n for n in names})
+    return found.select("vuid", *[F.col(f"a_{n}").alias(n) for n in ("number", "street", "unit", "city", "zip")], "confidential")
 
 
 def _matches(t: Tables) -> DataFrame:

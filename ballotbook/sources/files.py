@@ -46,24 +46,61 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     """A delimited file as text columns and ``ord``, its rows' order (S-01 to S-03, S-19).
 
     Quoted fields may hold separators, doubled quotes and line ends; short rows are padded, long ones cut; a byte
-    order mark is dropped; headers that clash keep their columns apart by position.
+    order mark is dropped; of headers that differ in case only the first keeps its name, later ones get their position.
     """
     if encoding is None:
         found = [r["encoding"] for r in encodings(spark, path).distinct().collect()]  # at most one of each name
         encoding = next((e for e in reversed(ENCODINGS) if e in found), "utf-8")
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.caseSensitive", "spark.sql.legacy.javaCharsets")}
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        df = (
+    if encoding == "cp1252":  # Spark's reader takes no such charset
+        return _decoded_rows(spark, path, sep, encoding, header)
+
+    def reader():
+        return (
             spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-            .option("multiLine", "true").option("mode", "PERMISSIVE").option("encoding", _CHARSETS.get(encoding, encoding)).csv(path)
+            .option("multiLine", "true").option("mode", "PERMISSIVE").option("encoding", _CHARSETS.get(encoding, encoding))
         )
-        names = [n.lstrip("﻿") for n in df.columns]
-        return df.toDF(*names).withColumn("ord", F.monotonically_increasing_id())
+
+    # Read by position: the names of the file may clash without regard to case.
+    before = spark.conf.get("spark.sql.caseSensitive", None)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        found = reader().csv(path).columns
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.caseSensitive") if before is None else spark.conf.set("spark.sql.caseSensitive", before)
+    df = reader().schema(", ".join(f"_{k} string" for k in range(len(found)))).csv(path)
+    return df.toDF(*_apart(found)).withColumn("ord", F.monotonically_increasing_id())
+
+
+def _apart(found: list[str]) -> list[str]:
+    names: list[str] = []
+    for k, n in enumerate(n.lstrip("\ufeff") for n in found):
+        names.append(f"{n}__{k}" if n.upper() in {x.upper() for x in names} else n)
+    return names
+
+
+def _decoded_rows(spark: SparkSession, path: str, sep: str, encoding: str, header: bool) -> DataFrame:
+    """The same for a charset that only Python reads; one file is one task."""
+
+    def run(batches):
+        import csv
+        import io
+        from itertools import batched
+
+        import pandas as pd
+
+        for pdf in batches:
+            for raw in pdf["content"]:
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(raw), encoding, newline=""), delimiter=sep)
+                for part in batched(enumerate(r for r in rows if r), 10000):
+                    yield pd.DataFrame({"k": [k for k, _ in part], "cells": [r for _, r in part]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    rows = files.mapInPandas(run, "k long, cells array<string>")
+    first = rows.filter("k = 0").select("cells").first()
+    names = _apart(first["cells"]) if header and first else [f"_c{k}" for k in range(len(first["cells"]) if first else 0)]
+    cells = [F.nullif(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)]
+    body = rows.filter("k > 0") if header else rows
+    return body.select(*cells).withColumn("ord", F.monotonically_increasing_id())
 
 
 def delimiter_of(path: str, header_line: str) -> str:

@@ -61,9 +61,10 @@ def test_units(value, raw, expected):
         ("", ("", "", "", "KYLE", "99999")),
     ],
 )
-def test_freeform(value, line, expected):
-    parts = A.freeform(F.lit(line), F.lit("Kyle"), F.lit("99999"))
-    assert tuple(value(parts[k]) for k in ("number", "street", "unit", "city", "zip")) == expected
+def test_freeform(spark, line, expected):
+    one = spark.createDataFrame([(line, "Kyle", "99999")], "line string, town string, code string")
+    row = A.freeform(one, "line", "town", "code").first()
+    assert tuple(row[k] for k in ("number", "street", "unit", "city", "zip")) == expected
 
 
 def test_address_keys_and_display(value):
@@ -81,16 +82,18 @@ def test_residential(value, codes, desc, expected):
     assert value(A.residential(F.lit(codes).cast("string"), F.lit(desc).cast("string"))) is expected
 
 
-def test_voter_address(value):
-    lit = lambda **k: A.voter_address({n: F.lit(v) for n, v in k.items()})
-    a = lit(number="12", pre="N", name1="LAMAR", type="BLVD", unit="3", unit_type="APT", city="Austin", zip="78701-1111")
-    assert [value(a[k]) for k in ("number", "street", "unit", "city", "zip", "confidential")] == ["12", "N LAMAR BLVD", "3", "AUSTIN", "78701", False]
-    a = lit(number="12", name1="LAMAR", freeform="12 LAMAR BLVD APT 9 AUSTIN TX 78702")
-    assert [value(a[k]) for k in ("street", "unit", "city", "zip")] == ["LAMAR", "9", "AUSTIN", "78702"]
-    a = lit(freeform="*** ***", number="1", name1="X")
-    assert [value(a[k]) for k in ("number", "street", "confidential")] == ["", "", True]
-    a = lit(name1="LONELY", type="LN", zip="1")
-    assert [value(a[k]) for k in ("number", "street", "zip")] == ["", "LONELY LN", "1"]
+def test_voter_address(spark):
+    def of(**k):
+        return A.voter_address(spark.createDataFrame([tuple(k.values())], ", ".join(f"{n} string" for n in k)), {n: n for n in k}).first()
+
+    a = of(number="12", pre="N", name1="LAMAR", type="BLVD", unit="3", unit_type="APT", city="Austin", zip="78701-1111")
+    assert [a[k] for k in ("a_number", "a_street", "a_unit", "a_city", "a_zip", "confidential")] == ["12", "N LAMAR BLVD", "3", "AUSTIN", "78701", False]
+    a = of(number="12", name1="LAMAR", freeform="12 LAMAR BLVD APT 9 AUSTIN TX 78702")
+    assert [a[k] for k in ("a_street", "a_unit", "a_city", "a_zip")] == ["LAMAR", "9", "AUSTIN", "78702"]
+    a = of(freeform="*** ***", number="1", name1="X")
+    assert [a[k] for k in ("a_number", "a_street", "confidential")] == ["", "", True]
+    a = of(name1="LONELY", type="LN", zip="1")
+    assert [a[k] for k in ("a_number", "a_street", "a_zip")] == ["", "LONELY LN", "1"]
 
 
 @pytest.mark.parametrize(

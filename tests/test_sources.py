@@ -13,7 +13,7 @@ from ballotbook.sources import files, headers, reports, sinks, workbooks
 from ballotbook.streaming import rosters
 
 
-@pytest.mark.parametrize("encoding,text", [("utf-8", "É"), ("utf-8-sig", "É"), ("cp1252", "É’"), ("latin-1", "É\x81")])
+@pytest.mark.parametrize("encoding,text", [("utf-8", "É"), ("utf-8-sig", "É"), ("cp1252", "’É"), ("latin-1", "\x81É")])
 def test_delimited_encodings(spark, tmp_path, encoding, text):
     raw = f'VUID,City,Note,CITY\n1,{text},"a ""q"", b\nc",9\n2,short\n3,x,y,z,extra\n'
     (tmp_path / "a.csv").write_bytes(raw.encode(encoding))
