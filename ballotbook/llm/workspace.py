@@ -56,8 +56,8 @@ def ship_package(spark: SparkSession) -> None:
 class Workspace:
     """Tables of one operator run in a folder of its own."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
+        self.spark, self.codec = spark, codec
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         bound_batches(spark)
@@ -72,7 +72,7 @@ class Workspace:
         """Write ``df`` and read it back: computed once, without lineage."""
         path = self.path(label)
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._ballotbook_path = path
         return out
