@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one class at once. Each class's signature is put in several orders
 (trees); in each order the classes are sorted by their signature's label, and neighbours with a common
-prefix of at least ``least_depth`` values are candidates. Depth adapts to the region: where few classes share
-a prefix all of them are compared, where many do each class is compared with the neighbours of the longest
+prefix of at least ``least_depth`` values are candidates. Depth adapts to the region: each class is compared with
+its ``WINDOW`` neighbours on either side, which is all of a sparse region, and in a dense one those of the longest
 common prefix. Sorting by (tree, label, id) splits a region of any size evenly over tasks. A candidate whose
 signature estimate is far below the threshold is left out (about five standard errors), the rest is confirmed
 on the full shingle sets of the texts.
@@ -32,7 +32,7 @@ from .workspace import Workspace
 
 TREES, DEPTH, SKETCH = 12, 8, 96
 HASHES = TREES * DEPTH
-WINDOW = 8
+WINDOW = 16
 _seeds = W.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR = (_seeds[:HASHES] >> np.uint64(32)).astype(np.uint32)
 _TIMES = (_seeds[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -135,21 +135,15 @@ def _neighbours(forest: DataFrame, least_depth: int, least_match: float) -> Data
                 at, before = at[near], before[near]
                 match = (sketches[at] == sketches[before]).mean(axis=1)
                 ok = match >= least_match
-                found.append((at[ok], before[ok], match[ok], np.full(int(ok.sum()), gap)))
+                found.append((at[ok], before[ok], match[ok]))
             if not found:
                 continue
-            at, before, match, gaps = (np.concatenate(x) for x in zip(*found))
+            at, before, match = (np.concatenate(x) for x in zip(*found))
             if not len(at):
                 continue
-            # All in sparse regions; in dense ones the nearest and the best of those before.
-            order = np.lexsort((gaps, -match, at))
-            at, before, match, gaps = at[order], before[order], match[order], gaps[order]
-            rank = np.arange(len(at)) - np.searchsorted(at, at)
-            number = np.searchsorted(at, at, side="right") - np.searchsorted(at, at)
-            keep = (number < WINDOW // 2) | (rank == 0) | (gaps == 1)
-            a, b = ids[at[keep]], ids[before[keep]]
+            a, b = ids[at], ids[before]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(match[keep])],
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(match)],
                 names=["a", "b", "match"],
             )
 

@@ -48,8 +48,8 @@ SYLLABLES = {
 }
 _NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Α-ΩΆ-Ώ][α-ωά-ώ-]+"
 NAMES = re.compile(
-    r"(?<!\w)(" + "|".join(sorted((re.escape(a) for a in [x for n in ADDRESSES.values() for x in n]), key=len, reverse=True))
-    + r")\.?[  ]((?:" + _NAME + r")(?: (?:" + _NAME + r")){0,2})"
+    r"(?<!\w)((?i:" + "|".join(sorted((re.escape(a) for a in [x for n in ADDRESSES.values() for x in n]), key=len, reverse=True))
+    + r"))\.?[  ]((?:" + _NAME + r")(?: (?:" + _NAME + r")){0,2})"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 MARKS = re.compile(
