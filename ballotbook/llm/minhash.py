@@ -8,9 +8,10 @@ common prefix. Sorting by (tree, label, id) splits a region of any size evenly o
 signature estimate is far below the threshold is left out (about five standard errors), the rest is confirmed
 on the full shingle sets of the texts.
 
-Confirmation goes in two rounds: each class's best candidate first, then all candidates that still lie in
-different components, so members of a large group are not compared with each other again and again. Links are
-made into components by star steps.
+Confirmation goes in rounds: each class's best candidate first, then all candidates that still lie in different
+components, so members of a large group are not compared with each other again and again. Last, in regions with
+more classes than neighbours and several components, the classes outside the largest component are compared with
+all others of the region in blocks. Links are made into components by star steps.
 
 Null and empty texts, or texts without words, have no shingles: linked with nothing. Equal sets are linked.
 A null doc_id belongs to its class's component, and is kept only without one. Repeated rows of one doc_id
@@ -181,6 +182,118 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _crowd_links(
+    members: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int, least_depth: int, least_match: float, ws: Workspace
+) -> DataFrame:
+    """Links between different components inside crowded regions, which sorted neighbours may miss.
+
+    In a region (classes of one tree with a common prefix of ``least_depth`` values) of more than ``WINDOW`` classes
+    and several components every class outside the region's largest component is compared with all others of the
+    region: in blocks, so that no task holds more than two of them, and each pair in its first common tree only.
+    """
+    rows = members.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = ws.keep(rows.withColumn("component", F.coalesce("component", "id")), "regions")
+    each = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    crowded = each.groupBy("region").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")
+    ).filter((F.col("n") > WINDOW) & (F.col("n") > F.col("n_main")))
+    small, large = 512, 2048
+    blocks = ws.keep(
+        crowded.select(
+            "region", "main", F.ceil((F.col("n") - F.col("n_main")) / small).alias("co"), F.ceil(F.col("n_main") / large).alias("cm")
+        ),
+        "crowded",
+    )
+    member = rows.join(blocks, "region")
+    member = member.withColumn("outside", F.col("component") != F.col("main")).withColumn(
+        "own", F.when(F.col("outside"), F.pmod(F.xxhash64("id"), "co")).otherwise(F.pmod(F.xxhash64("id"), "cm"))
+    )
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    place = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    own = F.col("own")
+    # Blocks of outsiders meet blocks of the main component (kind 0) and each other (kind 1).
+    outsider = F.concat(
+        F.transform(upto("cm"), lambda m: place(0, own, m, F.lit(0))),
+        F.transform(upto("co"), lambda o: place(1, F.least(own, o), F.greatest(own, o), (own > o).cast("int"))),
+    )
+    insider = F.transform(upto("co"), lambda o: place(0, o, own, F.lit(1)))
+    member = member.withColumn("p", F.explode(F.when(F.col("outside"), outsider).otherwise(insider)))
+    member = member.select("region", "p.kind", "p.x", "p.y", "p.side", "id", "component", "tree")
+    held = member.join(texts.select(F.col("doc_id").alias("id"), "text", "signature").hint("merge"), "id")
+    ordered = held.repartition("region", "kind", "x", "y").sortWithinPartitions("region", "kind", "x", "y").select(
+        "region", "kind", "x", "y", "side", "id", "component", "tree", "signature", "text"
+    )
+
+    def compare(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        side, ids, comps = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in (4, 5, 6))
+        tree, kind = parts[0].column(7)[0].as_py(), parts[0].column(1)[0].as_py()
+        signs = np.frombuffer(b"".join(x for p in parts for x in p.column(8).to_pylist()), ">u4").reshape(-1, HASHES)
+        signs = np.ascontiguousarray(signs.astype(np.uint32))
+        prefixes = signs.reshape(-1, TREES, DEPTH)[:, :tree, :least_depth]
+        sets = []
+        for p in parts:
+            for _, _, data, offsets in W.chunks(p.column(9)):
+                _, _, hashes, counts = W.split_words(data, offsets, W.SPACED)
+                sets += W.shingle_sets(hashes, counts, shingle)
+        size = np.array([len(x) for x in sets])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        same_block = kind == 1 and not side.any()
+        left = np.arange(len(ids)) if same_block else np.flatnonzero(side == 0)
+        right = None if same_block else np.flatnonzero(side == 1)
+        links = []
+        for a in left:
+            other = np.arange(a + 1, len(ids)) if same_block else right
+            other = other[comps[other] != comps[a]]
+            other = other[(100 * np.minimum(size[other], size[a]) >= percent * np.maximum(size[other], size[a]))]
+            other = other[(signs[other] == signs[a]).mean(axis=1) >= least_match]
+            if tree:  # pairs of an earlier common tree are compared there
+                other = other[~(prefixes[other] == prefixes[a]).all(axis=2).any(axis=1)]
+            for b in other:
+                x, y = find(int(comps[a])), find(int(comps[b]))
+                if x == y:
+                    continue
+                both = np.concatenate([sets[a], sets[b]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (size[a] + size[b] - common):
+                    parent[x] = y
+                    links.append((int(ids[a]), int(ids[b])))
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, parts = None, []
+
+        def out():
+            links = compare(parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                key = tuple(keys[s])
+                if key != held_key and parts:
+                    yield out()
+                    parts = []
+                held_key = key
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield out()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, least_depth: int = 3
 ) -> DataFrame:
@@ -204,18 +317,17 @@ def near_duplicates(
     pairs = ws.keep(
         _neighbours(ordered, least_depth, least_match).groupBy("a", "b").agg(F.max("match").alias("match")), "pairs"
     )
+    region = F.xxhash64("tree", F.substring("label", 1, 4 * least_depth))
+    regions = forest.select("id", "tree", region.alias("region"))
+    crowded = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WINDOW)
+    members = ws.keep(regions.join(crowded.select("region"), "region", "left_semi"), "members")
     ws.drop(forest)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = ws.keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(needed, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        if _repeats(sets)
-        else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-            needed, "doc_id", "left_semi"
-        ),
-        "texts",
-    )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct()
+    needed = needed.join(classes.select(F.col("id").alias("doc_id"), "signature").hint("merge"), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Hinted, so that every size takes the plan that large inputs need.
+    texts = rows.join(needed.hint("merge"), "doc_id")
+    texts = ws.keep(texts.dropDuplicates(["doc_id"]) if _repeats(sets) else texts, "texts")
     first = pairs.groupBy("b").agg(F.max(F.struct("match", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = ws.keep(_confirm(first, texts, shingle, percent), "links")
     groups = ws.keep(connected(links, ws), "groups")
@@ -227,7 +339,11 @@ def near_duplicates(
     )
     more = ws.keep(_confirm(ws.keep(rest.select("a", "b"), "rest"), texts, shingle, percent), "more")
     if more.count():
-        groups = ws.keep(connected(links.unionByName(more), ws), "groups")
+        links = links.unionByName(more)
+        groups = ws.keep(connected(links, ws), "groups")
+    crowd = ws.keep(_crowd_links(members, groups, texts, shingle, percent, least_depth, least_match, ws), "crowd")
+    if crowd.count():
+        groups = ws.keep(connected(links.unionByName(crowd), ws), "groups")
     ws.drop(texts, pairs)
     of_class = classes.select("one", "two", "n", "id").join(
         groups.select(F.col("node").alias("id"), "component"), "id", "left"
