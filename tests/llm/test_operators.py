@@ -80,6 +80,18 @@ def test_near_duplicates_match_brute_force(docs_of, percent):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
 
 
+def test_weak_links_in_a_crowd_are_found(docs_of):
+    rng = random.Random(21)
+    base = sentence(rng, 150)
+    rows = [(k, edited(rng, base, 1)) for k in range(250)]
+    rows += [(1000 + k, edited(rng, rows[rng.randrange(250)][1], 1)) for k in range(12)]
+    rows += [(2000 + k, edited(rng, base, 4)) for k in range(60)]
+    expected, _ = true_components(rows, 85)
+    assert len(set(expected.values())) > 20
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(rows), percent=85).collect()}
+    assert found == expected
+
+
 def test_near_duplicates_odd_rows(docs_of, odd_texts):
     out = minhash.near_duplicates(docs_of([*odd_texts, odd_texts[3]])).collect()
     assert len(out) == len(odd_texts) + 1
