@@ -11,9 +11,12 @@ introduced is also replaced where the same text uses it alone.
 
 Distinctness is checked over the corpus: the distinct entities are drawn at attempt 0, and those whose
 replacement equals another's or a real entity draw again until none does. Only the redrawn ones need a table;
-it is sent to the tasks when it is small and joined per document otherwise.
+it is sent to the tasks when it is small and joined per text otherwise.
 
-Null texts stay null. Rows without id are replaced too, with redrawn entities by the sent table only.
+Letters of other scripts in a secret become others of their kind; a secret of symbols only, such as a mask, and
+one whose first two draws were taken, has its symbols drawn too, so a free replacement is found for each.
+
+Null texts stay null. Rows without id are replaced too, as redrawn entities are joined by text.
 Repeated rows are each replaced. An empty table stays empty. Other columns pass through.
 """
 
@@ -22,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +175,30 @@ class Stream:
         )
 
 
+SYMBOLS = "!#$%&*+-=?@^_~"
+
+
+@lru_cache(4096)
+def alike(c: str) -> str:
+    """The characters of a letter's, mark's or number's category in its 128 code points."""
+    start = ord(c) & ~0x7F
+    return "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == unicodedata.category(c))
+
+
+def secret_shape(s: Stream, text: str, attempt: int) -> str:
+    """A secret's replacement; symbols are drawn where nothing else is, and from the third attempt."""
+    symbols = attempt >= 2 or not any(unicodedata.category(c)[0] in "LMN" for c in text)
+    out = []
+    for c in s.shape(text):
+        if not c.isascii() and unicodedata.category(c)[0] in "LMN":
+            own = alike(c)
+            c = own[s.below(len(own))]
+        elif symbols and not (c.isascii() and c.isalnum()):
+            c = SYMBOLS[s.below(len(SYMBOLS))]
+        out.append(c)
+    return "".join(out)
+
+
 def draw(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The replacement of a canonical form."""
     s = Stream(key, kind, canonical, attempt)
@@ -183,7 +212,7 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical):
             hexes = "0123456789ABCDEF" if canonical.upper() == canonical else "0123456789abcdef"
             return "".join(hexes[s.below(16)] for _ in canonical)
-        return s.shape(canonical)
+        return secret_shape(s, canonical, attempt)
     if kind == "ip":
         own = [int(o) for o in canonical.split(".")]
         while True:
@@ -335,12 +364,14 @@ def replace_personal_data(docs: DataFrame, key: bytes, send_at_most: int = 100_0
     if few:
         frame = frame.withColumn("__ballotbook_redrawn", F.lit(None).cast("array<struct<kind:string,canonical:string,surrogate:string>>"))
     else:
+        # By text, so that rows without id have theirs; texts that share a hash share a longer table only.
+        by_text = F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
         own = (
-            entities(docs, per_document=True).join(redrawn, ["kind", "canonical"])
+            entities(docs.select(by_text.alias("doc_id"), "text"), per_document=True).join(redrawn, ["kind", "canonical"])
             .groupBy(F.col("doc_id").alias("__ballotbook_id"))
             .agg(F.collect_list(F.struct("kind", "canonical", "surrogate")).alias("__ballotbook_redrawn"))
         )
-        frame = frame.join(own, F.col("doc_id") == F.col("__ballotbook_id"), "left").drop("__ballotbook_id")
+        frame = frame.join(own, by_text == F.col("__ballotbook_id"), "left").drop("__ballotbook_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -313,6 +313,23 @@ def test_surrogates_odd_rows(docs_of, odd_texts, send):
 # ---- sharding ----
 
 
+def test_secrets_of_symbols_and_other_scripts_are_replaced(docs_of):
+    secrets = ["********", "парольсекрет", "密码密码密码密码"] + [f"*******{d}" for d in range(4)]
+    rows = [(k, f'password="{x}"') for k, x in enumerate(secrets)]
+    out = [r["text"][10:-1] for r in surrogates.replace_personal_data(docs_of(rows), b"key").collect()]
+    assert len(set(out)) == len(secrets) and not set(out) & set(secrets)
+    assert {len(x) for x in out} == {len(x) for x in secrets}
+
+
+def test_rows_without_id_get_redrawn_entities_at_any_size(docs_of):
+    rows = [(1 + k, f'password="*******{k}"') for k in range(4)] + [(None, f'password="*******{k}"') for k in range(4)]
+    sent, joined = (
+        sorted((r["doc_id"] or 0, r["text"]) for r in surrogates.replace_personal_data(docs_of(rows), b"key", send_at_most=n).collect())
+        for n in (100_000, 0)
+    )
+    assert sent == joined
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
