@@ -62,11 +62,12 @@ def block_top(
     q, x = queries.astype(np.float64), block.astype(np.float64)
     # Bounds are rounded; the slack covers that, and final scores are integers.
     slack = 1e-12 * (np.abs(q).sum(1) * np.abs(x).max(initial=0)) + 0.25
-    alive = None
+    alive, mine = None, own[:, None] == ids[None, :]
     for upper, lower in _depths(q, x):
-        if len(x) > k:
-            # k + 1: the query's own row may be among them
-            kth = np.partition(lower, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+        if len(x) >= k:
+            # The query's own rows, however many, are no candidates.
+            others = np.where(mine, -np.inf, lower)
+            kth = np.partition(others, len(x) - k, axis=1)[:, len(x) - k]
             np.maximum(best, kth - slack, out=best)
         alive = upper >= (best - slack)[:, None]
         if alive.sum() <= max(64 * len(q), alive.size // 50):

@@ -467,6 +467,15 @@ def test_top_k_is_exact(spark, block_rows, query_rows):
 # ---- packing ----
 
 
+def test_top_k_with_a_query_id_on_several_rows():
+    queries = np.array([[10, 1]])
+    block = np.array([[1000, 1]] * 4 + [[v, 0] for v in range(400)])
+    ids = np.array([7] * 4 + list(range(100, 500)))
+    _, b, scores = topk.block_top(queries, np.array([7]), block, ids, 5, np.full(1, -np.inf))
+    best = sorted(zip(-scores, ids[b]))[:5]
+    assert best == [(-10 * v, 100 + v) for v in (399, 398, 397, 396, 395)]
+
+
 def test_packing_covers_every_token_and_keeps_shares(docs_of, odd_texts):
     from tokenizers import Tokenizer
 
