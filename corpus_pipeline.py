@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Several stages have no SQL form; tests/llm holds the pipeline against a brute-force version.
+#: Several stages have no SQL form; tests/llm holds each stage against its own operator.
 ORACLE_SQL = None
 
 
