@@ -3,17 +3,21 @@
 Rows are put in the order of (digest of the text, doc_id): equal texts form one atomic group, and the
 order is the same however the input is split. The smallest shard capacity for which greedy filling
 needs at most ``shards`` shards is found by binary search over the group sizes, and the order is cut
-there. The search runs on block sums (at most ``max_blocks`` of them): blocks are taken once as whole
-(pessimistic) and once as divisible (optimistic); only blocks in which a cut may fall are opened, until
-no cut falls inside a block. The result is that of the search over single groups.
-
-Null and empty texts: size 1 (no bytes plus the separator), one group. Repeated rows are each placed.
-A null doc_id is placed like any other value. An empty table gives an empty result. Of further columns
-none is read.
+there. The search runs on block sums (at most ``max_blocks`` of them, and two more for each group that has
+over 1 / ``LARGE`` of all bytes, which is a block of its own). A cut of the true search lies between two
+bounds: that of the smallest capacity that can do if blocks may be cut anywhere, taken at the starts of the
+blocks it falls in, and that of the smallest capacity that surely does. Only blocks between the bounds of a
+cut are opened into finer ones, until none is left. The result is that of the search over single groups.
+
+Null and empty texts: size 1 (no bytes plus the separator), one group. Very long texts are one group each and
+are read once. Ties: rows of one text lie by doc_id, repeated rows are each placed. A null doc_id is placed like
+any other value, first in its group. An empty table gives an empty result. Of further columns none is read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 _INDEX = (1 << 33) - 1
+#: Groups of over this share of all bytes, of which there are fewer than so many, are known one by one.
+LARGE = 4096
 
 
 @dataclass(frozen=True)
@@ -34,62 +40,60 @@ class Item:
     whole: bool
 
 
-def greedy(items: list[Item], capacity: int, divisible: bool) -> list[int]:
-    """Ends (in bytes from the start) of shards filled in turn up to ``capacity``.
+class Order:
+    """The items in order, with the bytes before each."""
 
-    With ``divisible`` a block may be cut anywhere, otherwise only at its end. A group larger than the
-    capacity makes the result longer than any shard count.
-    """
-    ends, start, at = [], 0, 0
-    for item in items:
-        if divisible and not item.whole:
-            while at + item.size - start > capacity:
-                start += capacity
-                ends.append(start)
-        elif at + item.size - start > capacity:
-            if item.size > capacity:
-                return [0] * (1 << 16)
-            ends.append(at)
-            start = at
-        at += item.size
-    return [*ends, at]
-
-
-def smallest_capacity(items: list[Item], shards: int, floor: int, divisible: bool) -> int:
-    """Binary search for the smallest capacity that needs at most ``shards`` shards."""
-    total = sum(i.size for i in items)
-    low, high = max(floor, -(-total // shards)), max(total, floor)
-    while low < high:
-        middle = (low + high) // 2
-        if len(greedy(items, middle, divisible)) <= shards:
-            high = middle
-        else:
-            low = middle + 1
-    return low
-
-
-def open_blocks(items: list[Item], shards: int, floor: int) -> tuple[int, set[int]]:
-    """The best capacity over whole items, and the blocks in which a better cut may fall."""
-    high = smallest_capacity(items, shards, floor, divisible=False)
-    low = smallest_capacity(items, shards, floor, divisible=True)
-    early, late = greedy(items, low, False), greedy(items, high, True)
-    spans = [
-        (early[j] if j < len(early) else early[-1], late[j] if j < len(late) else late[-1])
-        for j in range(min(shards, max(len(early), len(late))))
-    ]
-    found: set[int] = set()
-    ends, at = [], 0
-    for item in items:
-        at += item.size
-        ends.append(at)
-    import bisect
-
-    for a, b in spans:
-        a, b = min(a, b), max(a, b)
-        for k in range(bisect.bisect_right(ends, a), min(len(items), bisect.bisect_left(ends, b) + 1)):
-            if not items[k].whole:
-                found.add(k)
-    return high, found
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.starts = [0]
+        for item in items:
+            self.starts.append(self.starts[-1] + item.size)
+        self.total = self.starts[-1]
+
+    def cut(self, start: int, capacity: int, late: bool) -> int:
+        """Where a shard that begins at ``start`` ends, at the latest or at the earliest."""
+        full = start + capacity
+        if full >= self.total:
+            return self.total
+        k = bisect.bisect_right(self.starts, full) - 1
+        if late and not self.items[k].whole:
+            return full
+        return max(start, self.starts[k])
+
+    def cuts(self, capacity: int, shards: int, late: bool) -> list[int]:
+        """The ends of ``shards`` shards; the last is the total if the capacity does."""
+        out = [0]
+        for _ in range(shards):
+            out.append(self.cut(out[-1], capacity, late))
+        return out[1:]
+
+    def smallest(self, shards: int, floor: int, late: bool) -> int:
+        """Binary search for the smallest capacity that does."""
+        low, high = max(floor, -(-self.total // shards)), max(self.total, floor)
+        while low < high:
+            middle = (low + high) // 2
+            if self.cuts(middle, shards, late)[-1] == self.total:
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
+    def uncertain(self, shards: int, floor: int) -> list[tuple[int, int]]:
+        """Ranges of items, [from, to), that hold a block in which a cut may fall; at most one for each cut."""
+        first = self.cuts(self.smallest(shards, floor, True), shards, False)
+        last = self.cuts(self.smallest(shards, floor, False), shards, True)
+        ranges: list[list[int]] = []
+        for a, b in zip(first[:-1], last[:-1]):
+            low = bisect.bisect_right(self.starts, a) - 1
+            high = bisect.bisect_left(self.starts, b)
+            open_ = [k for k in range(low, min(high, len(self.items))) if not self.items[k].whole]
+            if not open_:
+                continue
+            if ranges and open_[0] <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], open_[-1] + 1)
+            else:
+                ranges.append([open_[0], open_[-1] + 1])
+        return [(a, b) for a, b in ranges]
 
 
 def shard_documents(
@@ -127,6 +131,18 @@ def shard_documents(
         ),
         "groups",
     ).drop("digest")
+    sums = groups.agg(F.max("size").alias("floor"), F.sum("size").alias("total")).first()
+    floor, total = sums["floor"] or 1, sums["total"] or 0
+    large: dict[int, list[int]] = {}
+    for r in groups.filter(F.col("size") > total // LARGE).select("last").collect():  # fewer than LARGE rows
+        large.setdefault(r["last"] >> 33, []).append(r["last"])
+    large_of = spark.createDataFrame([(p, sorted(x)) for p, x in large.items()], "part long, large array<long>")
+    # Twice the large groups before a group in its part, and one more for a large group itself.
+    near = F.coalesce("large", F.array().cast("array<long>"))
+    zone = F.size(F.filter(near, lambda x: x < F.col("last"))) + F.size(F.filter(near, lambda x: x <= F.col("last")))
+    groups = groups.withColumn("part", F.shiftright("last", 33)).join(
+        F.broadcast(large_of), "part", "left"  # fewer than LARGE numbers in all
+    ).select("last", "size", "rows", "part", zone.alias("zone"))
 
     part = F.shiftright("at", 33)
     per_part = sorted(
@@ -137,10 +153,9 @@ def shard_documents(
     for p, n in per_part:
         before[p] = total_rows
         total_rows += n
-    floor = groups.agg(F.max("size")).first()[0] or 1
 
     def blocks_of(frame: DataFrame, width: int) -> list[Item]:
-        block = F.struct(F.shiftright("last", 33), F.floor(F.col("last").bitwiseAND(_INDEX) / width))
+        block = F.struct("part", "zone", F.floor(F.col("last").bitwiseAND(_INDEX) / width))
         found = (
             frame.groupBy(block.alias("b"))
             .agg(
@@ -150,43 +165,31 @@ def shard_documents(
                 F.count(F.lit(1)).alias("groups"),
             )
             .collect()
-        )
+        )  # at most max_blocks rows and two for each large group
         return sorted((Item(r["last"], r["size"], r["rows"], r["groups"] == 1) for r in found), key=lambda i: i.last)
 
     width = max(1, -(-total_rows // max_blocks))
-    items = blocks_of(groups, width)
-    while items:
-        _, opened = open_blocks(items, shards, floor)
-        if not opened:
-            break
-        spans, k = [], 0
-        opened_sorted = sorted(opened)
-        while k < len(opened_sorted):
-            first = opened_sorted[k]
-            while k + 1 < len(opened_sorted) and opened_sorted[k + 1] == opened_sorted[k] + 1:
-                k += 1
-            low = items[first - 1].last if first else -1
-            spans.append((low, items[opened_sorted[k]].last))
-            k += 1
-        inside = F.lit(False)
-        for low, high in spans:
-            inside = inside | ((F.col("last") > low) & (F.col("last") <= high))
-        n_inside = sum(items[k].rows for k in opened)
-        width = min(max(1, width // 2), max(1, -(-n_inside // max_blocks)))
-        finer = blocks_of(groups.filter(inside), width)
-        items = sorted([i for k, i in enumerate(items) if k not in opened] + finer, key=lambda i: i.last)
+    order = Order(blocks_of(groups, width))
+    while ranges := order.uncertain(shards, floor):
+        items = order.items
+        inside, n_inside, kept = F.lit(False), 0, []
+        for k, (a, b) in enumerate(ranges):  # at most one for each shard
+            low = items[a - 1].last if a else -1
+            inside = inside | ((F.col("last") > low) & (F.col("last") <= items[b - 1].last))
+            n_inside += sum(i.rows for i in items[a:b])
+            kept += items[ranges[k - 1][1] if k else 0 : a]
+        kept += items[ranges[-1][1] :]
+        width = max(1, min(width // 2, -(-n_inside // max_blocks)))
+        order = Order(sorted(kept + blocks_of(groups.filter(inside), width), key=lambda i: i.last))
 
     cuts, firsts = [], [0]
-    if items:
-        ends = greedy(items, smallest_capacity(items, shards, floor, False), False)
-        at = done = k = 0
-        for item in items:
-            at += item.size
-            done += item.rows
-            if k < len(ends) - 1 and at == ends[k]:
-                cuts.append(item.last)
-                firsts.append(done)
-                k += 1
+    ends = order.cuts(order.smallest(shards, floor, False), shards, False) if order.items else []
+    done = 0
+    for k, item in enumerate(order.items):
+        done += item.rows
+        if order.starts[k + 1] in ends and order.starts[k + 1] < order.total:
+            cuts.append(item.last)
+            firsts.append(done)
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("at") > F.lit(cut)).cast("int")

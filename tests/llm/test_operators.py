@@ -363,6 +363,45 @@ def test_sharding_is_minimax(docs_of, max_blocks):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_with_one_group_of_half_the_corpus(spark):
+    """Half of all rows are one text, some others are repeated, over many partitions; against the plain search."""
+    rows = 50_000
+    text = F.when(F.col("id") % 2 == 0, F.lit("one text that half of the corpus has")).when(
+        F.col("id") % 10 == 1, F.concat(F.lit("repeated "), F.expr("id % 40"))
+    ).otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"))
+        out = sharding.shard_documents(frame).join(frame, "doc_id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert len(out) == rows and (out.groupby("text")["shard"].nunique() == 1).all()
+    sizes = out.groupby("text")["size"].sum()
+    ordered = sizes.loc[sorted(sizes.index, key=lambda t: hashlib.sha256(t.encode()).digest())].tolist()
+    assert out.groupby("shard")["size"].sum().max() == best_capacity(ordered, 16)
+    assert all(sorted(s) == list(range(len(s))) for _, s in out.groupby("shard")["slot"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_search_over_blocks_is_that_over_groups(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 3, 50, 50, 400, 9000 if seed % 2 else 5]) for _ in range(400)]
+    items = [sharding.Item(k, s, 1, True) for k, s in enumerate(sizes)]
+    best, shards = best_capacity(sizes, 16), 16
+    assert sharding.Order(items).smallest(shards, max(sizes), False) == best
+    blocks = [sharding.Item(k + 19, sum(sizes[k : k + 20]), 20, False) for k in range(0, 400, 20)]
+    order = sharding.Order(blocks)
+    while ranges := order.uncertain(shards, max(sizes)):
+        assert len(ranges) <= shards
+        a, b = ranges[0]
+        inside = items[order.items[a - 1].last + 1 if a else 0 : order.items[b - 1].last + 1]
+        order = sharding.Order(order.items[:a] + inside + order.items[b:])
+    assert order.smallest(shards, max(sizes), False) == best
+
+
 def test_sharding_odd_rows(docs_of, odd_texts):
     out = {r["doc_id"]: r for r in sharding.shard_documents(docs_of(odd_texts)).collect()}
     assert len(out) == len(odd_texts) and out[1]["size"] == out[2]["size"] == 1 and out[1]["shard"] == out[2]["shard"]
