@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 
 def first_wins(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The row of each key that comes first (W-01)."""
@@ -58,9 +60,14 @@ def repeated_groups(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     return number_rows(groups, keys).withColumnRenamed("number", "group_no")
 
 
-def number_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows numbered from 1 in key order: ranges are sorted apart and offset by the counts before them."""
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+def number_rows(df: DataFrame, keys: list[str], descending: tuple[str, ...] = ()) -> DataFrame:
+    """Rows numbered from 1 in key order: ranges are sorted apart and offset by the counts before them.
+
+    The sorted rows are written once and numbered as written, so counts and rows are of the same ranges. Nulls come
+    first, and last in descending keys; rows with equal keys are numbered in any order. An empty table stays empty.
+    """
+    order = [F.col(k).desc() if k in descending else F.col(k).asc() for k in keys]
+    ordered = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", 33)
     # One row for each partition.
     counts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import compose_address, compose_name
 from ..functions.text import quoted, zip_split
+from .dedup import number_rows
 
 # ---- Fixed values: header names per role, letters and digits only ----
 ROLES = {
@@ -77,6 +78,12 @@ def sorted_view(df: DataFrame, column: str, descending: bool = False, row_id: st
     return df.orderBy(key.desc() if descending else key.asc(), F.col(row_id).asc())
 
 
+def numbered_view(df: DataFrame, column: str, descending: bool = False, row_id: str = "row_id") -> DataFrame:
+    """The rows with their ``position`` in the sorted view, from 1."""
+    keyed = df.withColumn("__key", F.lower(F.col(column).cast("string")))
+    return number_rows(keyed, ["__key", row_id], ("__key",) if descending else ()).withColumnRenamed("number", "position").drop("__key")
+
+
 def page(df: DataFrame, offset: int, size: int) -> DataFrame:
     """A stretch of a sorted view."""
     return df.offset(offset).limit(size)

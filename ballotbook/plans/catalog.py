@@ -708,10 +708,8 @@ def maps_url(t: Tables) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY lower(last) DESC, ord) AS position, ord, last FROM registration")
 def viewer_sorted(t: Tables) -> DataFrame:
-    rows = viewer.sorted_view(t.registration.select("ord", "last").withColumn("row_id", F.col("ord")), "last", descending=True)
-    return dedup.number_rows(rows.withColumn("__key", F.lower("last")).withColumn("__neg", F.translate("__key", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")), ["__neg", "ord"]).select(
-        F.col("number").alias("position"), "ord", "last"
-    )
+    rows = t.registration.select("ord", "last").withColumn("row_id", F.col("ord"))
+    return viewer.numbered_view(rows, "last", descending=True).drop("row_id")
 
 
 @query("SELECT ord, concat_ws(',', vuid, CASE WHEN ck % 2 = 0 THEN chr(34) || last || ', ' || first || chr(34) ELSE last END, chr(34) || 'say ' || repeat(chr(34), 2) || first || repeat(chr(34), 3)) AS line FROM registration")
