@@ -1,35 +1,24 @@
 """Shared-folder tables that cut lineage, and Arrow batch limits.
 
 Every intermediate table is Parquet below ``spark.checkpoint.dir``, the folder that all executors
-share; a lost executor costs the running tasks only. Where the setting is absent (a local session
-in tests) one temporary folder is made for the session and set.
+share; a lost executor costs the running tasks only. The tables go when the application ends.
 """
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import delete, file_system, new_folder
+
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
 BATCH_ROWS = 2048
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder from ``spark.checkpoint.dir``; set to a fresh temporary one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ballotbook-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes: long texts then come a few at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -58,7 +47,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
         self.spark, self.codec = spark, codec
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self._n = 0
         bound_batches(spark)
         ship_package(spark)
@@ -85,15 +74,7 @@ class Workspace:
                 delete(self.spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whichever store it is in."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Bytes below a path, asked of Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, p = file_system(spark, path)
     return fs.getContentSummary(p).getLength()
