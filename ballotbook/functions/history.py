@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import col, date_of, field
@@ -13,6 +13,11 @@ PRIMARY_DATES = [
 ]
 
 
+def calendar(spark: SparkSession, dates: list[str] = PRIMARY_DATES) -> DataFrame:
+    """(position, day) of the elections, newest first: a fixed list as a relation (S-21)."""
+    return spark.createDataFrame(list(enumerate(dates, 1)), "position int, day string")
+
+
 def history_string(registered: Column | str, parties: list[Column | str], dates: list[str] = PRIMARY_DATES) -> Column:
     """One letter per election, newest first: the party's initial, ``_`` for a voter who could have voted,
     ``~`` for one registered less than 30 days before or on no known date (F-22)."""

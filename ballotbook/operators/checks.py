@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import field
 from .ordered import contest_groups
 
 
-def contest_shape(lines: DataFrame) -> DataFrame:
-    """Contests whose second line is no ``Vote For: n`` (V-01)."""
-    groups = contest_groups(lines).filter("contest_no > 0 and role = 'vote_for'")
-    return groups.filter(F.size(F.split("line", ":")) != 2)
+def contest_shape(lines: DataFrame, starts: str | None = None) -> DataFrame:
+    """Lines of contests whose second line is no ``Vote For: n`` of two parts (V-01).
+
+    Without ``starts`` only contests with a Vote-For line can be told; ``starts`` is a pattern of contest titles, and
+    titles that no such line follows are found too.
+    """
+    bad = contest_groups(lines).filter("role = 'vote_for'").filter(F.size(F.split("line", ":")) != 2)
+    if starts is None:
+        return bad
+    some = lines.filter(field("line") != "")
+    following = F.lead(F.lower(field("line"))).over(Window.partitionBy("file").orderBy("line_no"))
+    titles = some.withColumn("__next", F.coalesce(following, F.lit(""))).filter(
+        field("line").rlike(starts) & ~F.col("__next").startswith("vote for:")
+    )
+    return bad.unionByName(titles.drop("__next").withColumn("contest_no", F.lit(None).cast("long")).withColumn("role", F.lit("contest")))
 
 
 def selection_counts(rows: DataFrame) -> DataFrame:
@@ -72,10 +83,15 @@ def file_dates(files: DataFrame) -> DataFrame:
     return files.filter(F.size(F.split(F.get(F.split("name", " "), F.lit(0)), r"\.")) != 3)
 
 
-def required_columns(df: DataFrame, names: list[str]) -> list[str]:
-    """The required columns that are missing (V-13)."""
+def required_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """(name): the required columns that are missing (V-13)."""
     have = {c.strip().upper() for c in df.columns}
-    return [n for n in names if n.upper() not in have]
+    return df.sparkSession.createDataFrame([(n,) for n in names if n.upper() not in have], "name string")
+
+
+def over_column_limit(spark: SparkSession, names: list[str], limit: int = 1024) -> DataFrame:
+    """(name, position) of the columns beyond the limit (V-15)."""
+    return spark.createDataFrame([(n, k) for k, n in enumerate(names, 1) if k > limit], "name string, position long")
 
 
 def district_conflicts(precincts: DataFrame) -> DataFrame:

@@ -127,6 +127,13 @@ def multi_vote_flags(groups: DataFrame, members: DataFrame, roster: DataFrame, k
     )
 
 
+def report(df: DataFrame, sections: dict[str, str]) -> DataFrame:
+    """Counts by each of several columns and in all, as rows of section, label and n: one pass, no printing (K-16)."""
+    pairs = [F.struct(F.lit(name).alias("section"), F.col(c).cast("string").alias("label")) for name, c in sections.items()]
+    total = F.struct(F.lit("total").alias("section"), F.lit("rows").alias("label"))
+    return df.select(F.explode(F.array(*pairs, total)).alias("x")).groupBy("x.section", "x.label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def type_counts(roster: DataFrame) -> DataFrame:
     return roster.groupBy("ballot_type").agg(F.count(F.lit(1)).alias("n"))
 

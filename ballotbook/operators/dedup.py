@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 from ..sources.scratch import kept
 
 
+def with_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows with a key that is not blank (P-06); ``counters`` says how many are left out."""
+    return df.filter(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
+
+
+def counters(df: DataFrame, key: str, filled: str) -> DataFrame:
+    """One row: rows, blank keys, distinct keys, later rows of a key, filled and empty values of a column (A-32)."""
+    some = F.nullif(F.trim(F.coalesce(F.col(key), F.lit(""))), F.lit(""))
+    value = F.trim(F.coalesce(F.col(filled), F.lit("")))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(some.isNull(), 1)).alias("n_blank_keys"), F.countDistinct(some).alias("n_keys"),
+        (F.count(some) - F.countDistinct(some)).alias("n_duplicates"), F.count(F.when(value != "", 1)).alias("n_filled"),
+        F.count(F.when(value == "", 1)).alias("n_empty"),
+    )
+
+
 def first_wins(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The row of each key that comes first (W-01)."""
     return _pick(df, keys, F.min_by, order)

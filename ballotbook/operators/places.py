@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, percent
+from ..functions.text import field, normalize_text, percent
 from .dedup import first_association
 
 
+def with_period(checkins: DataFrame) -> DataFrame:
+    """Adds provisional (any flag but ``n``) and period, EV or ED by the code's first letters, else blank (P-09)."""
+    period = F.upper(F.substring(F.trim("code"), 1, 2))
+    return checkins.withColumn("provisional", ~F.lower(field("flag")).eqNullSafe(F.lit("n"))).withColumn(
+        "period", F.when(period.isin("ED", "EV"), period).otherwise(F.lit(""))
+    )
+
+
 def site_summary(checkins: DataFrame) -> DataFrame:
     """Voters and precincts, regular and provisional, per site and period (A-14, A-16, P-15)."""
     early = F.col("period") == "EV"
@@ -55,6 +63,18 @@ def migration_shares(moved: DataFrame) -> DataFrame:
     return moved.join(total, "old_precinct").withColumn("pct", F.bround(percent("n", "total"), 1))
 
 
+def ranked_destinations(moved: DataFrame) -> DataFrame:
+    """The moves with their place among those of the old precinct, most voters first, unmapped ones last (O-06)."""
+    order = Window.partitionBy("old_precinct").orderBy(F.desc("n"), F.asc_nulls_last("new_precinct"))
+    return moved.withColumn("place", F.row_number().over(order))  # an old precinct has few destinations
+
+
+def migration_cells(moved: DataFrame) -> DataFrame:
+    """The cells of the matrix as text with one decimal and a percent sign (K-05)."""
+    cells = migration_shares(moved).filter("new_precinct is not null")
+    return cells.select("old_precinct", "new_precinct", F.format_string("%.1f%%", F.col("pct").cast("double")).alias("cell"))
+
+
 def migration_matrix(moved: DataFrame, old_precincts: list[str]) -> DataFrame:
     """A row per new precinct, a column per old one (A-27, K-05); the columns are given, so none is collected."""
     shares = migration_shares(moved).filter("new_precinct is not null")

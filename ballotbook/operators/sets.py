@@ -33,6 +33,11 @@ def upsert(main: DataFrame, supplement: DataFrame, key: str = "vuid", order: str
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def with_unknown(known: DataFrame, unknown: DataFrame, blank: str = "address") -> DataFrame:
+    """The rows of all partitions and those of voters that no list knows, with a blank address (U-07)."""
+    return known.unionByName(unknown.select(*[F.lit("").alias(c) if c == blank else F.col(c) for c in known.columns]))
+
+
 def unused(master: DataFrame, used: DataFrame, key: str) -> DataFrame:
     """Master keys that are never used (U-08)."""
     return master.select(key).distinct().join(used.select(key), key, "left_anti")

@@ -11,30 +11,30 @@ from .dedup import number_rows
 
 # ---- Fixed values: header names per role, letters and digits only ----
 ROLES = {
-    "vuid": "VUID VUIDNO SOSVOTERID BARCODEVUID SOSVOTERIDNUMBER",
-    "other_id": "ID IDNUMBER LEGACYVOTERID COUNTYID",
-    "full_name": "NAME FULLNAME FULLNAM CONTACTNAME VOTERNAME",
-    "prefix": "NAMPFX NAMEPREFIX PREFIX",
-    "first": "FSTNAM FIRSTNAME FIRST FNAME GIVENNAME",
-    "middle": "MIDNAM MIDDLENAME MIDDLE MNAME",
-    "last": "LSTNAM LASTNAME LAST LNAME SURNAME",
-    "suffix": "NAMESUFFIX NAMESUFFIXCODE SUFFIX NSUFFIX",
-    "full_address": "ADDRESS FULLADDRESS RESADDRESS STREETADDRESS RESIDENTIALADDRESS",
-    "number": "BLKNUM BLOCKNUM HOUSENUM HOUSENUMBER HOUSENO HSENO STREETNUMBER STREETNUM STREETNO STRNUM",
-    "predir": "STRPRE STRPREFIX PREDIR PREDIRECTION STREETPREFIX",
-    "street": "STRNAM STRNAME STREETNAME STREETNAM STREET",
-    "kind": "STRTYP STRTYPE STREETTYPE STREETTYP",
-    "direction": "STRDIR STREETDIR",
-    "postdir": "POSTDIR POSTDIRECTION STRPOST",
-    "unit_type": "UNITYP UNITTYPE APTTYPE",
-    "unit": "UNITNO UNITNUM UNITNUMBER APTNO APTNUM APARTMENT",
-    "city": "RSCITY RESCITY RESIDENCECITY CITY",
-    "state": "RSTATE RESSTATE RESIDENCESTATE STATE",
-    "zip": "RZIPCD RZIP RESZIP ZIPCODE ZIPCD ZIP",
-    "zip4": "RZIP4 ZIP4 PLUS4",
+    "vuid": ["VUID", "VUIDNO", "SOSVOTERID", "BARCODEVUID", "SOSVOTERIDNUMBER"],
+    "other_id": ["ID", "IDNUMBER", "LEGACYVOTERID", "COUNTYID"],
+    "full_name": ["NAME", "FULLNAME", "FULLNAM", "CONTACTNAME", "VOTERNAME"],
+    "prefix": ["NAMPFX", "NAMEPREFIX", "PREFIX"],
+    "first": ["FSTNAM", "FIRSTNAME", "FIRST", "FNAME", "GIVENNAME"],
+    "middle": ["MIDNAM", "MIDDLENAME", "MIDDLE", "MNAME"],
+    "last": ["LSTNAM", "LASTNAME", "LAST", "LNAME", "SURNAME"],
+    "suffix": ["NAMESUFFIX", "NAMESUFFIXCODE", "SUFFIX", "NSUFFIX"],
+    "full_address": ["ADDRESS", "FULLADDRESS", "RESADDRESS", "STREETADDRESS", "RESIDENTIALADDRESS"],
+    "number": ["BLKNUM", "BLOCKNUM", "HOUSENUM", "HOUSENUMBER", "HOUSENO", "HSENO", "STREETNUMBER", "STREETNUM", "STREETNO", "STRNUM"],
+    "predir": ["STRPRE", "STRPREFIX", "PREDIR", "PREDIRECTION", "STREETPREFIX"],
+    "street": ["STRNAM", "STRNAME", "STREETNAME", "STREETNAM", "STREET"],
+    "kind": ["STRTYP", "STRTYPE", "STREETTYPE", "STREETTYP"],
+    "direction": ["STRDIR", "STREETDIR"],
+    "postdir": ["POSTDIR", "POSTDIRECTION", "STRPOST"],
+    "unit_type": ["UNITYP", "UNITTYPE", "APTTYPE"],
+    "unit": ["UNITNO", "UNITNUM", "UNITNUMBER", "APTNO", "APTNUM", "APARTMENT"],
+    "city": ["RSCITY", "RESCITY", "RESIDENCECITY", "CITY"],
+    "state": ["RSTATE", "RESSTATE", "RESIDENCESTATE", "STATE"],
+    "zip": ["RZIPCD", "RZIP", "RESZIP", "ZIPCODE", "ZIPCD", "ZIP"],
+    "zip4": ["RZIP4", "ZIP4", "PLUS4"],
 }
 # ---- End of fixed values ----
-_ROLE_OF = {name: role for role, names in ROLES.items() for name in names.split()}
+_ROLE_OF = {name: role for role, names in ROLES.items() for name in names}
 MOST_COLUMNS = 1024
 
 
@@ -84,6 +84,18 @@ def numbered_view(df: DataFrame, column: str, descending: bool = False, row_id:
     return number_rows(keyed, ["__key", row_id], ("__key",) if descending else ()).withColumnRenamed("number", "position").drop("__key")
 
 
+def numeric_order(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
+    """The rows with their ``position`` by a column: whole numbers by value, then other texts by letters (O-03)."""
+    number = F.col(column).try_cast("bigint")
+    keyed = df.withColumn("__text", number.isNull().cast("int")).withColumn("__number", number)
+    return number_rows(keyed, ["__text", "__number", column, row_id]).withColumnRenamed("number", "position").drop("__text", "__number")
+
+
+def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The ``k`` values with the most rows, ties by value (O-07)."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def page(df: DataFrame, offset: int, size: int) -> DataFrame:
     """A stretch of a sorted view."""
     return df.offset(offset).limit(size)

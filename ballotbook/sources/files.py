@@ -14,29 +14,31 @@ ENCODINGS = ["utf-8", "cp1252", "latin-1"]
 _CHARSETS = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
 
 
+def _encoding_of(raw: bytes, names: list[str] = ENCODINGS) -> str | None:
+    """The first encoding that reads all bytes strictly."""
+    import codecs
+
+    for name in names:
+        decoder, view = codecs.getincrementaldecoder(name)(), memoryview(raw)
+        try:
+            for k in range(0, len(view), 1 << 20):
+                decoder.decode(view[k : k + (1 << 20)])
+            decoder.decode(b"", True)
+        except UnicodeDecodeError:
+            continue
+        return name
+    return None
+
+
 def encodings(spark: SparkSession, path: str, names: list[str] = ENCODINGS) -> DataFrame:
     """(path, encoding): the first strict decoding of each whole file (S-01, S-02). Files come through Spark's
     reader, one a row; above two gigabytes give the encoding instead."""
 
     def run(batches):
-        import codecs
-
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for raw in pdf["content"]:
-                for name in names:
-                    decoder, view = codecs.getincrementaldecoder(name)(), memoryview(raw)
-                    try:
-                        for k in range(0, len(view), 1 << 20):
-                            decoder.decode(view[k : k + (1 << 20)])
-                        decoder.decode(b"", True)
-                    except UnicodeDecodeError:
-                        continue
-                    out.append(name)
-                    break
-            yield pd.DataFrame({"path": pdf["path"], "encoding": out})
+            yield pd.DataFrame({"path": pdf["path"], "encoding": [_encoding_of(raw, names) for raw in pdf["content"]]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, encoding string")
@@ -49,8 +51,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     order mark is dropped; of headers that differ in case only the first keeps its name, later ones get their position.
     """
     if encoding is None:
-        found = [r["encoding"] for r in encodings(spark, path).distinct().collect()]  # at most one of each name
-        encoding = next((e for e in reversed(ENCODINGS) if e in found), "utf-8")
+        found = [r["encoding"] for r in encodings(spark, path).select("encoding").distinct().collect()]  # at most one of each name
+        if len(found) > 1:  # a folder of several encodings: each file by its own
+            return _decoded_rows(spark, path, sep, None, header)
+        encoding = found[0] if found else "utf-8"
     if encoding == "cp1252":  # Spark's reader takes no such charset
         return _decoded_rows(spark, path, sep, encoding, header)
 
@@ -78,8 +82,8 @@ def _apart(found: list[str]) -> list[str]:
     return names
 
 
-def _decoded_rows(spark: SparkSession, path: str, sep: str, encoding: str, header: bool) -> DataFrame:
-    """The same for a charset that only Python reads; one file is one task."""
+def _decoded_rows(spark: SparkSession, path: str, sep: str, encoding: str | None, header: bool) -> DataFrame:
+    """The same decoded in Python, each file by its own encoding if none is given; one file is one task."""
 
     def run(batches):
         import csv
@@ -89,15 +93,15 @@ def _decoded_rows(spark: SparkSession, path: str, sep: str, encoding: str, heade
         import pandas as pd
 
         for pdf in batches:
-            for raw in pdf["content"]:
-                rows = csv.reader(io.TextIOWrapper(io.BytesIO(raw), encoding, newline=""), delimiter=sep)
+            for file, raw in zip(pdf["path"], pdf["content"]):
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(raw), encoding or _encoding_of(raw), newline=""), delimiter=sep)
                 for part in batched(enumerate(r for r in rows if r), 10000):
-                    yield pd.DataFrame({"k": [k for k, _ in part], "cells": [r for _, r in part]})
+                    yield pd.DataFrame({"file": [file] * len(part), "k": [k for k, _ in part], "cells": [r for _, r in part]})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    rows = files.mapInPandas(run, "k long, cells array<string>")
-    first = rows.filter("k = 0").select("cells").first()
-    names = _apart(first["cells"]) if header and first else [f"_c{k}" for k in range(len(first["cells"]) if first else 0)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    rows = files.mapInPandas(run, "file string, k long, cells array<string>")
+    first = rows.filter("k = 0").groupBy().agg(F.min_by("cells", "file").alias("cells")).first()["cells"]
+    names = _apart(first) if header and first else [f"_c{k}" for k in range(len(first or []))]
     cells = [F.nullif(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)]
     body = rows.filter("k > 0") if header else rows
     return body.select(*cells).withColumn("ord", F.monotonically_increasing_id())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import field
@@ -47,6 +47,13 @@ def resolve(found: dict[str, int], *aliases: str) -> int | None:
     return next((found[a.upper()] for a in aliases if a.upper() in found), None)
 
 
+def role_table(spark: SparkSession, names: list[str], roles: dict[str, list[str]] = ROLES) -> DataFrame:
+    """(role, position) of the roles that a header has (P-01, P-02, P-04)."""
+    found = header_map(names)
+    rows = [(role, resolve(found, *aliases)) for role, aliases in roles.items()]
+    return spark.createDataFrame([r for r in rows if r[1] is not None], "role string, position int")
+
+
 def by_roles(df: DataFrame, roles: dict[str, list[str]] = ROLES, keep: list[str] = ["ord"]) -> DataFrame:
     """One trimmed text column per role, blank where the header has none (P-03, P-04). Columns are taken by
     position, so clashing headers do no harm."""

@@ -31,7 +31,11 @@ def write_text(df: DataFrame, path: str, column: str = "line", append: bool = Fa
     df.select(F.col(column).alias("value")).write.mode("append" if append else "overwrite").text(path)
 
 
+def with_blocks(early: DataFrame, election_day: DataFrame) -> DataFrame:
+    """Early voting sites as block 0, election day sites as block 1."""
+    return early.withColumn("block", F.lit(0)).unionByName(election_day.withColumn("block", F.lit(1)))
+
+
 def sites_in_blocks(early: DataFrame, election_day: DataFrame, order: list[str]) -> DataFrame:
     """Early voting sites, then election day sites, each sorted (K-09)."""
-    both = early.withColumn("block", F.lit(0)).unionByName(election_day.withColumn("block", F.lit(1)))
-    return both.orderBy("block", *order).drop("block")
+    return with_blocks(early, election_day).orderBy("block", *order).drop("block")

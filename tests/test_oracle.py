@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
     theirs = sorted(tuple(plain(r[k]) for k in order) for r in con.fetchall())
     assert len(mine) == len(theirs)
     assert mine == theirs
-    assert mine or name in ("master_list_violations", "unused_styles", "duplicate_barcodes", "batch_total_violations", "singleton_groups")
+    assert mine or name in ("batch_total_violations", "singleton_groups")  # right batches add up, sites are large
 
 
 def test_line_groups_equal_a_plain_loop(spark):

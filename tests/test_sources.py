@@ -197,3 +197,28 @@ def test_zip_cases(spark):
     rows = [("787011234", "", "1234"), ("78701", "0000", ""), ("78701", "0042", "0042"), ("78701-0000", "", ""), ("", "12", "12"), ("78701", "", "")]
     for z, four, expected in rows:
         assert spark.range(1).select(zip_split(F.lit(z), F.lit(four))[1]).first()[0] == expected
+
+
+def test_files_of_several_encodings_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("VUID,NAME\n1,Müller €\n".encode())
+    (tmp_path / "b.csv").write_bytes("VUID,NAME\n2,Müller €\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes("\ufeffVUID,NAME\n3,plain\n".encode())
+    got = {r["VUID"]: r["NAME"] for r in files.read_delimited(spark, str(tmp_path)).collect()}
+    assert got == {"1": "Müller €", "2": "Müller €", "3": "plain"}
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    from ballotbook.operators.dedup import number_rows
+
+    rows = spark.range(3_000_000).select((F.xxhash64("id") % 1_000_000).alias("k"), "id", F.lit("some width to split " * 4).alias("pad"))
+    one = number_rows(rows, ["k", "id"], ("k",)).agg(F.count("*"), F.countDistinct("number"), F.min("number"), F.max("number")).first()
+    assert tuple(one) == (3_000_000, 3_000_000, 1, 3_000_000)
+
+
+def test_descending_order_of_prefixes_digits_and_accents(spark):
+    from ballotbook.operators.viewer import numbered_view
+
+    names = ["ab", "abc", "Äb", "a1", "a10", "", None, "AB"]
+    rows = spark.createDataFrame(list(enumerate(names)), "row_id long, name string")
+    got = [r["name"] for r in numbered_view(rows, "name", descending=True).orderBy("position").collect()]
+    assert got == ["Äb", "abc", "ab", "AB", "a10", "a1", "", None]
