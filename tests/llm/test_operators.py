@@ -646,3 +646,46 @@ def test_packing_covers_every_token_and_keeps_shares(docs_of, odd_texts):
     full = [n for w, n in windows.items() if (w + 1) * 16 <= last]
     assert full and all(abs(n - 4096 * share) <= 2 for n in full)
     assert packing.pack_documents(docs_of([]), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("shares", [{"a": 0.5, "b": 0.2}, {"a": 0.0, "b": 0.9}, {"b": 0.25, "c": 0.25, "a": 0.5}])
+def test_packing_fills_windows_to_target_shares(docs_of, shares):
+    rng = random.Random(14)
+    rows = [(k, sentence(rng, rng.choice([20, 90, 200]))) for k in range(240)]
+    source = ["abc"[k % 3] for k in range(240)]
+    out = packing.pack_documents(docs_of(rows, source), tokenizer_path(), sequence=128, window=2048, shares=shares).collect()
+    assert sum(r["length"] for r in out) == sum({r["doc_id"]: r["doc_tokens"] for r in out}.values())
+    total, windows = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in out:
+        total[r["source"]] += r["length"]
+        windows[r["sequence_id"] // 16][r["source"]] += r["length"]
+    first = {"a": shares.get("a"), "b": shares.get("b"), "c": shares.get("c", 1 - sum(shares.values()))}
+    done, deficit = defaultdict(int), 0
+    for w in sorted(windows):
+        if any(done[s] + 2048 * p > total[s] for s, p in first.items()):
+            break
+        for s, p in first.items():
+            done[s] += windows[w][s]
+            deficit = max(deficit, abs(done[s] - 2048 * (w + 1) * p))
+    assert w > 2 and deficit <= 1 + 1e-6
+
+
+def test_packing_with_many_small_sources(docs_of):
+    rng = random.Random(15)
+    rows = [(k, sentence(rng, 12)) for k in range(1500)]
+    source = [f"s{k}" if k % 3 else "big" for k in range(1500)]
+    out = packing.pack_documents(docs_of(rows, source), tokenizer_path(), sequence=64, window=256).collect()
+    places = defaultdict(list)
+    for r in out:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["source"] == source[r["doc_id"]]
+    assert sum(r["length"] for r in out) == sum({r["doc_id"]: r["doc_tokens"] for r in out}.values())
+    for k, p in places.items():
+        assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:j]) for j in range(len(p))]
+        assert sum(n for _, n in p) == 64 or k == max(places)
+
+
+def test_packing_null_id_and_source(spark):
+    frame = spark.createDataFrame([(None, "a b c", None), (1, None, None), (1, "a b c", "x"), (1, "a b c", "x")], "doc_id long, text string, source string")
+    out = packing.pack_documents(frame, tokenizer_path()).collect()
+    assert len(out) == 4 and sum(r["doc_id"] is None for r in out) == 1
