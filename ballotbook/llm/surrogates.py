@@ -1,7 +1,7 @@
 """Keyed, type-consistent surrogates for personal data.
 
 Entities: e-mail addresses, telephone numbers, payment cards, social security numbers, IBANs, IPv4 addresses,
-secrets (long hex strings and quoted values of token-like names) and names after a form of address. Each mention
+secrets (long hex strings and quoted values of token-like names) and names after a form of address or introduction. Each mention
 has a canonical form (case, separators and spaces apart); a keyed stream (HMAC-SHA256 of key, kind, canonical form
 and attempt) draws a replacement of the same shape: letters stay letters of their script and case, digits
 digits, separators and country codes stay; card and IBAN check digits stay right (or wrong), IP addresses
@@ -16,7 +16,11 @@ it is sent to the tasks when it is small and joined per text otherwise.
 Letters of other scripts in a secret become others of their kind; a secret of symbols only, such as a mask, and
 one whose first two draws were taken, has its symbols drawn too, so a free replacement is found for each.
 
-Null texts stay null. Rows without id are replaced too, as redrawn entities are joined by text.
+A name counts as one where a form of address or an introduction (``INTRODUCTIONS``) stands before it, and then wherever
+the text has it. Names that nothing introduces stay.
+
+Null texts stay null. Very long texts are read whole. Ties: of entities that draw one replacement the first by kind
+and form keeps it. Rows without id are replaced too, as redrawn entities are joined by text.
 Repeated rows are each replaced. An empty table stays empty. Other columns pass through.
 """
 
@@ -44,7 +48,12 @@ ADDRESSES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "г-жа", "Κυρία"],
     "n": ["Dr", "Prof"],
 }
-_GENDER = {a.lower(): g for g, names in ADDRESSES.items() for a in names}
+# Words by which people give their names.
+INTRODUCTIONS = [
+    "my name is", "my name's", "mein Name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es",
+    "меня зовут", "με λένε", "ονομάζομαι",
+]
+_GENDER = {a.lower(): g for g, names in (ADDRESSES | {"n": ADDRESSES["n"] + INTRODUCTIONS}).items() for a in names}
 # Letters that a drawn name is made of, by script, and its endings by gender.
 SYLLABLES = {
     "latin": ("bdfgklmnprstvz", "aeiou", {"m": "or en us ian", "f": "a ia ina elle", "n": "er an son ey"}),
@@ -53,7 +62,7 @@ SYLLABLES = {
 }
 _NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Α-ΩΆ-Ώ][α-ωά-ώ-]+"
 NAMES = re.compile(
-    r"(?<!\w)((?i:" + "|".join(sorted((re.escape(a) for a in [x for n in ADDRESSES.values() for x in n]), key=len, reverse=True))
+    r"(?<!\w)((?i:" + "|".join(sorted((re.escape(a) for a in _GENDER), key=len, reverse=True))
     + r"))\.?[  ]((?:" + _NAME + r")(?: (?:" + _NAME + r")){0,2})"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -129,6 +138,8 @@ def mentions(text: str, marked: bool = True) -> list[Mention]:
                 canonical = re.sub(r"[^\d+]", "", raw)
                 if kind == "phone" and not 8 <= sum(c.isdigit() for c in canonical) <= 15:
                     continue
+                if kind == "phone" and not canonical.startswith("+"):  # three, three and four digits
+                    canonical = "+1" + canonical
             found.append(Mention(start, end, kind, canonical))
     people: dict[str, str] = {}
     for m in NAMES.finditer(text):
@@ -204,10 +215,11 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     s = Stream(key, kind, canonical, attempt)
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        labels = domain.split(".")
-        sites = Stream(key, "domain", domain, 0)  # one replacement for all addresses of a domain
-        labels = [x if k >= len(labels) - 1 or x == "example" else sites.shape(x) for k, x in enumerate(labels)]
-        return s.shape(local + "x" * (attempt // 8)) + "@" + ".".join(labels)
+        return s.shape(local + "x" * (attempt // 8)) + "@" + draw(key, "domain", domain)
+    if kind == "domain":  # one replacement for all addresses of a domain
+        labels = canonical.split(".")
+        more = "x" * (attempt // 8)
+        return ".".join(x if k >= len(labels) - 1 or x == "example" else s.shape(x + more) for k, x in enumerate(labels))
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical):
             hexes = "0123456789ABCDEF" if canonical.upper() == canonical else "0123456789abcdef"
@@ -254,6 +266,8 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
 def render(mention: str, kind: str, surrogate: str) -> str:
     """The surrogate in the mention's format."""
     if kind in ("phone", "card", "ssn", "iban"):
+        if kind == "phone" and "+" not in mention:  # the national form of a +1 number
+            surrogate = surrogate[2:]
         chars = iter(surrogate)
         return "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in mention)
     if kind == "email":
@@ -270,6 +284,8 @@ def replace(text: str, key: bytes, redrawn: dict[tuple[str, str], str], marked:
     out, at = [], 0
     for m in found:
         new = redrawn.get((m.kind, m.canonical)) or draw(key, m.kind, m.canonical)
+        if m.kind == "email" and (site := redrawn.get(("domain", m.canonical.partition("@")[2]))):
+            new = new.partition("@")[0] + "@" + site
         out += [text[at : m.start], render(text[m.start : m.end], m.kind, new)]
         at = m.end
     return "".join([*out, text[at:]]), len(found)
@@ -293,6 +309,8 @@ def entities(docs: DataFrame, per_document: bool = False) -> DataFrame:
                 if text:
                     for m in mentions(text, bool(marked)):
                         found[(doc if per_document else None, m.kind, m.canonical)] = None
+                        if m.kind == "email" and set((site := m.canonical.partition("@")[2]).split(".")[:-1]) != {"example"}:
+                            found[(doc if per_document else None, "domain", site)] = None
             rows = list(found)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -323,13 +341,21 @@ def _drawn(frame: DataFrame, key: bytes, attempt: int) -> DataFrame:
 def assign(found: DataFrame, key: bytes, ws: Workspace, rounds: int = 64, draws=_drawn) -> DataFrame:
     """Redrawn entities (kind, canonical, surrogate): those whose first draw met another's or a real entity.
 
-    Kinds of one family share a name space: a surrogate is compared within its group of kinds.
+    Kinds of one family share a name space: a surrogate is compared within its group of kinds, and a name that
+    several forms of address introduce has one replacement, of the first gender among f, m and n; its other kinds
+    are in the result too.
     """
     space = F.split("kind", "-").getItem(0)
+    several = ws.keep(
+        found.groupBy(space.alias("space"), "canonical").agg(F.min("kind").alias("kind"), F.collect_set("kind").alias("kinds")), "kinds"
+    )
+    found = several.select("kind", "canonical")
+    first = None
     real = found.select(space.alias("space"), F.col("canonical").alias("taken"))
     pending, given, redrawn = found, None, []
     for attempt in range(rounds):
         drawn = ws.keep(draws(pending, key, attempt).withColumn("space", space), f"drawn-{attempt}")
+        first = drawn if first is None else first
         held = real if given is None else real.unionByName(given)
         free = drawn.join(
             held.withColumnRenamed("taken", "surrogate"), ["space", "surrogate"], "left_anti"
@@ -348,15 +374,23 @@ def assign(found: DataFrame, key: bytes, ws: Workspace, rounds: int = 64, draws=
     out = found.sparkSession.createDataFrame([], "kind string, canonical string, surrogate string")
     for r in redrawn:
         out = out.unionByName(r)
-    return out
+    out = ws.keep(out, "redrawn")
+    others = several.filter(F.size("kinds") > 1)
+    again = out.withColumnRenamed("surrogate", "again")
+    own = others.join(first.select("kind", "canonical", "surrogate"), ["kind", "canonical"]).join(again, ["kind", "canonical"], "left")
+    alike = own.withColumn("other", F.explode("kinds")).filter(F.col("other") != F.col("kind")).select(
+        F.col("other").alias("kind"), "canonical", F.coalesce("again", "surrogate").alias("surrogate")
+    )
+    return out.unionByName(alike)
 
 
 def replace_personal_data(docs: DataFrame, key: bytes, send_at_most: int = 100_000) -> DataFrame:
-    """The documents with surrogates in ``text``: all columns, and n_entities."""
+    """The documents with surrogates in ``text``: all columns, and n_entities, which is left out where a column of the
+    name exists: that passes through."""
     ws = Workspace(docs.sparkSession, "surrogates")
     found = ws.keep(entities(docs), "entities")
     redrawn = ws.keep(assign(found, key, ws), "redrawn")
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns, count = docs.columns, [] if "n_entities" in docs.columns else ["n_entities"]
     frame = docs.select(*columns)
     few = redrawn.count() <= send_at_most
     table = {(r["kind"], r["canonical"]): r["surrogate"] for r in redrawn.collect()} if few else {}
@@ -387,8 +421,9 @@ def replace_personal_data(docs: DataFrame, key: bytes, send_at_most: int = 100_0
                 counts.append(n)
             cols = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "__ballotbook_redrawn"]
             cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=[*columns, "n_entities"])
+            cols += [pa.array(counts, pa.int32())] if count else []
+            yield pa.RecordBatch.from_arrays(cols, names=[*columns, *count])
 
     frame = frame.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in frame.select(*columns).dtypes] + ["n_entities int"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in frame.select(*columns).dtypes] + [f"{c} int" for c in count])
     return frame.select(*columns, "__ballotbook_redrawn").mapInArrow(run, schema)

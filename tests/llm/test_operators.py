@@ -408,6 +408,35 @@ def test_surrogates_odd_rows(docs_of, odd_texts, send):
 # ---- sharding ----
 
 
+def test_surrogates_are_distinct_and_coreferent_over_a_corpus(docs_of):
+    """Plain mapping of every mention: one surrogate for one entity in all formats, none for two."""
+    rng = random.Random(17)
+    people = [f"{a} {b}" for a in ("Anna", "Jonas", "Maria", "Peter") for b in ("Gray", "Lopez", "Schulz")]
+    rows = []
+    for k in range(120):
+        who, n = rng.choice(people), rng.randrange(40)
+        form = rng.choice(["Mrs", "Dr", "Mr", "my name is"])
+        phone = rng.choice(["(743) 555-38%02d", "+1 743 555 38%02d", "743-555-38%02d", "+1 (743) 555-38%02d"]) % n
+        rows.append((k, f"{form} {who} has {phone} and u{n}@site{n % 7}.org"))
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs_of(rows), KEY).collect()}
+    seen = defaultdict(set)
+    for k, text in rows:
+        a, b = text.split(" has "), out[k].split(" has ")
+        for x, y in zip(a[0].split()[-2:], b[0].split()[-2:]):
+            seen["name", x].add(y)
+        (p, e), (q, f) = a[1].split(" and "), b[1].split(" and ")
+        assert re.sub(r"\d", "0", p) == re.sub(r"\d", "0", q) and p != q
+        seen["phone", re.sub(r"\D", "", p)[-10:]].add(re.sub(r"\D", "", q)[-10:])
+        seen["mail", e].add(f)
+        seen["site", e.split("@")[1]].add(f.split("@")[1])
+    assert all(len(v) == 1 for v in seen.values())
+    for kind in ("name", "phone", "mail", "site"):
+        own = [next(iter(v)) for (k, _), v in seen.items() if k == kind]
+        assert len(set(own)) == len(own) and not set(own) & {x for k, x in seen if k == kind}
+    clash = surrogates.replace_personal_data(docs_of(rows[:3]).withColumn("n_entities", F.lit(77)), KEY)
+    assert {r["n_entities"] for r in clash.collect()} == {77}
+
+
 def test_secrets_of_symbols_and_other_scripts_are_replaced(docs_of):
     secrets = ["********", "парольсекрет", "密码密码密码密码"] + [f"*******{d}" for d in range(4)]
     rows = [(k, f'password="{x}"') for k, x in enumerate(secrets)]
