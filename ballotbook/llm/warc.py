@@ -1,8 +1,9 @@
 """WARC archives read by index first.
 
 Writing: each task writes one gzip-per-record WARC file into the shared folder, under a name of its own
-attempt, and returns one index row per record: file, offset, length, URL, digest. The index is written
-as a table before anything reads it, so a repeated task leaves at most an unreferenced file.
+attempt, and returns one index row per record: file, offset, length, URL, digest. A file begins with a warcinfo
+record, which has no index row; record ids are made of page, file and offset, so no two are the same. The index is
+written as a table before anything reads it, so a repeated task leaves at most an unreferenced file.
 
 Reading: the selected index rows are sorted by file and offset, near ranges are coalesced to reads of at
 most ``read_bytes``, and each read is one task row; records come out of the bytes alone.
@@ -10,7 +11,8 @@ most ``read_bytes``, and each read is one task row; records come out of the byte
 Records with equal payloads of at least ``min_revisit_bytes`` bytes: the smallest id is a response, the
 others are revisits of it. Null payloads are empty ones; equal empty payloads revisit too. Null URLs are
 written as an empty URI. A null id is written as ``-`` and is never a response for others. Repeated
-rows: all rows of the smallest id are responses. An empty table gives no files and no
+rows: all rows of the smallest id are responses. Very long payloads are one record each, held whole by one task at a
+time; all times of a run are the one at which it began, as pages have none. An empty table gives no files and no
 rows. Of further columns none is read.
 """
 
@@ -38,7 +40,23 @@ def base32_sha1(raw: bytes) -> str:
     return base64.b32encode(raw).decode("ascii")
 
 
-def record_bytes(page_id, url, html: bytes, sha1: bytes, first) -> bytes:
+def packed(whole: bytes) -> bytes:
+    """One gzip member."""
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return packer.compress(whole) + packer.flush()
+
+
+def info_bytes(name: str, date: str) -> bytes:
+    """The warcinfo record that begins a file."""
+    body = b"software: ballotbook" + _BREAK + b"format: WARC File Format 1.1" + _BREAK
+    head = [
+        b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:warcinfo:%s>" % name.encode(), b"WARC-Date: " + date.encode(),
+        b"WARC-Filename: " + name.encode(), b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(body),
+    ]
+    return packed(_BREAK.join([*head, b"", b""]) + body + _BREAK + _BREAK)
+
+
+def record_bytes(page_id, url, html: bytes, sha1: bytes, first, place: str, date: str) -> bytes:
     """One record as a gzip member; ``first`` is the id that it revisits, or None for a response."""
     kind = b"response" if first is None else b"revisit"
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A").encode()
@@ -46,19 +64,21 @@ def record_bytes(page_id, url, html: bytes, sha1: bytes, first) -> bytes:
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + kind,
-        b"WARC-Record-ID: <urn:page:%s>" % (b"-" if page_id is None else b"%d" % page_id),
+        b"WARC-Record-ID: <urn:page:%s:%s>" % (b"-" if page_id is None else b"%d" % page_id, place.encode()),
+        b"WARC-Date: " + date.encode(),
+        b"X-Page-ID: " + (b"-" if page_id is None else b"%d" % page_id),
         b"WARC-Target-URI: " + target,
         b"WARC-Payload-Digest: sha1:" + base32_sha1(sha1).encode(),
-        b"WARC-Payload-Length: %d" % len(html),
+        b"X-Payload-Length: %d" % len(html),
         b"Content-Type: text/html; charset=utf-8",
         b"Content-Length: %d" % len(body),
     ]
     if first is not None:
-        head.insert(4, b"WARC-Refers-To: <urn:page:%d>" % first)
-        head.insert(5, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    whole = _BREAK.join([*head, b"", b""]) + body + _BREAK + _BREAK
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return packer.compress(whole) + packer.flush()
+        head += [
+            b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            b"WARC-Refers-To-Date: " + date.encode(), b"X-Refers-To-Page: %d" % first,
+        ]
+    return packed(_BREAK.join([*head, b"", b""]) + body + _BREAK + _BREAK)
 
 
 def parse_record(raw: bytes) -> tuple[dict[bytes, bytes], bytes]:
@@ -82,7 +102,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
 
     ``folder`` is a URI that pyarrow's file systems open, such as file:, hdfs: or s3:.
     """
-    ws = Workspace(pages.sparkSession, "warc-write")
+    import datetime
+
+    ws, date = Workspace(pages.sparkSession, "warc-write"), datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html)).alias("sha1"))
     copies = ws.keep(
@@ -115,10 +137,13 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
                 store, path = _store(folder)
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
+                info = info_bytes(name, date)
+                out.write(info)
+                at = len(info)
             cols = [c.to_pylist() for c in batch.columns]
             found = []
             for page_id, url, body, sha1, first in zip(*cols):
-                raw = record_bytes(page_id, url, body, sha1, first)
+                raw = record_bytes(page_id, url, body, sha1, first, f"{name}:{at}", date)
                 out.write(raw)
                 found.append(
                     (page_id, name, at, len(raw), url, base32_sha1(sha1), "response" if first is None else "revisit")
@@ -181,8 +206,7 @@ def read_records(
                     fields, body = parse_record(zlib.decompress(raw[at : at + r["length"]], 31))
                     kind = fields[b"WARC-Type"].decode()
                     digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
-                    page = fields[b"WARC-Record-ID"][len("<urn:page:") : -1]
-                    first = fields.get(b"WARC-Refers-To")
+                    page, first = fields[b"X-Page-ID"], fields.get(b"X-Refers-To-Page")
                     sound = digest == r["digest"] and (
                         kind == "revisit" or base32_sha1(hashlib.sha1(body).digest()) == digest
                     )
@@ -191,8 +215,8 @@ def read_records(
                             None if page == b"-" else int(page),
                             fields[b"WARC-Target-URI"].decode(),
                             kind,
-                            int(first[len("<urn:page:") : -1]) if first else None,
-                            int(fields[b"WARC-Payload-Length"]),
+                            int(first) if first else None,
+                            int(fields[b"X-Payload-Length"]),
                             digest,
                             body if payloads and kind == "response" else None,
                             sound,

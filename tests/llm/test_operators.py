@@ -597,8 +597,22 @@ def test_archives_round_trip(spark):
             assert r["record_type"] == "response" and bytes(r["payload"]) == h and r["refers_to"] is None
         else:
             assert r["record_type"] == "revisit" and r["refers_to"] == first[h]
+    import gzip
+    from pathlib import Path
+
+    ids = []
+    for f in Path(folder.removeprefix("file:").replace("//", "/")).glob("*.warc.gz"):
+        heads = [h.split(b"\r\n") for h in re.findall(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)+", gzip.decompress(f.read_bytes()))]
+        assert heads[0][1] == b"WARC-Type: warcinfo"
+        ids += [line for h in heads for line in h if line.startswith(b"WARC-Record-ID")]
+        assert all(any(line.startswith(b"WARC-Date: 2") for line in h) for h in heads)
+    assert len(ids) == len(set(ids)) > len(rows)
     some = warc.read_records(index.filter("page_id % 7 = 0"), folder)
     assert {r["page_id"] for r in some.collect()} == {i for i in html if i is not None and i % 7 == 0}
+    twice = warc.archive_round_trip(pages.filter("page_id < 4").unionAll(pages.filter("page_id < 4")).withColumn("file", F.lit("x"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in twice) == sorted(
+        [(0, "response", None), (3, "revisit", 0), (1, "response", None), (2, "response", None)] * 2, key=str
+    )
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(none).count() == 0
     small = {r["page_id"]: r["record_type"] for r in warc.archive_round_trip(pages, min_revisit_bytes=100).collect()}
