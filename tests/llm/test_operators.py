@@ -648,11 +648,41 @@ def test_top_k_with_a_query_id_on_several_rows():
     queries = np.array([[10, 1]])
     block = np.array([[1000, 1]] * 4 + [[v, 0] for v in range(400)])
     ids = np.array([7] * 4 + list(range(100, 500)))
-    _, b, scores = topk.block_top(queries, np.array([7]), block, ids, 5, np.full(1, -np.inf))
+    lists = topk.Lists(ids, block.astype(np.float64))
+    _, b, scores = topk.block_top(queries.astype(np.float64), np.array([7]), lists, 5, np.full(1, -np.inf), scale=1)
     best = sorted(zip(-scores, ids[b]))[:5]
     assert best == [(-10 * v, 100 + v) for v in (399, 398, 397, 396, 395)]
 
 
+@pytest.mark.parametrize("skew", [True, False])
+def test_top_k_reading_stops_early_on_skewed_lists(skew):
+    rng = np.random.default_rng(18)
+    vectors = rng.normal(size=(4000, 8))
+    if skew:
+        vectors[:, 0] = rng.pareto(1.0, 4000) * 50
+        vectors *= np.array([1, *[0.01] * 7])
+    queries = np.abs(rng.normal(size=(6, 8))) + 0.5
+    lists = topk.Lists(np.arange(4000), vectors)
+    a, b, scores = topk.block_top(queries, np.full(6, -1), lists, 5, np.full(6, -np.inf))
+    whole = np.floor(256 * vectors).astype(np.int64) @ np.floor(256 * queries).astype(np.int64).T
+    for k in range(6):
+        got = sorted(zip(-scores[a == k], b[a == k]))[:5]
+        assert got == sorted(zip(-whole[:, k], range(4000)))[:5]
+    assert lists.entries < 0.2 * vectors.size if skew else lists.entries <= vectors.size
+
+
+def test_top_k_of_large_and_repeated_components(spark):
+    rows = [(0, [600000.0, 1.0]), (50, [1e200, 1.0]), (1, [2.0**40, 3.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [2.0**53, 5.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in topk.top_inner_products(frame, F.col("vec_id") % 50 == 0).collect():
+        out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    score = lambda x, y: max(-topk.LONG - 1, min(topk.LONG, sum(topk.whole(a, 256) * topk.whole(b, 256) for a, b in zip(x, y))))
+    for q, v in rows[:2]:
+        best = sorted((-score(v, w), i) for i, w in rows if i != q)[:5]
+        assert sorted(out[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_packing_covers_every_token_and_keeps_shares(docs_of, odd_texts):
     from tokenizers import Tokenizer
 
