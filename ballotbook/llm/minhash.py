@@ -13,7 +13,10 @@ components, so members of a large group are not compared with each other again a
 more classes than neighbours and several components, the classes outside the largest component are compared with
 all others of the region in blocks. Links are made into components by star steps.
 
-Null and empty texts, or texts without words, have no shingles: linked with nothing. Equal sets are linked.
+Small regions that lie over the border of two tasks' ranges have all their pairs compared, so the ranges do not
+matter. Null and empty texts, or texts without words, have no shingles: linked with nothing. Equal sets are linked.
+Very long texts are read whole, a mebibyte at a time. Ties between candidates go to the greater id. Rows that share a
+doc_id have the component of their own set; in links the smallest text stands for the id.
 A null doc_id belongs to its class's component, and is kept only without one. Repeated rows of one doc_id
 are each returned. An empty table gives no rows. Of further columns none is read.
 """
@@ -108,13 +111,18 @@ def _labels(classes: DataFrame) -> DataFrame:
 
 
 def _neighbours(forest: DataFrame, least_depth: int, least_match: float) -> DataFrame:
-    """Candidate pairs among sorted neighbours: (a, b, match)."""
+    """Candidate pairs among sorted neighbours: (a, b, match), and, with a match of -1, the regions at the ends of the
+    task's range, whose pairs over the border no task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, ends = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
+            regions = batch.column(4).to_numpy(zero_copy_only=False)
+            ends = [*ends[:WINDOW], *(ends[WINDOW:] + regions[:WINDOW].tolist() + regions[-WINDOW:].tolist())[-2 * WINDOW :]] if ends else [
+                *regions[:WINDOW].tolist(), *regions[-WINDOW:].tolist()
+            ]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             trees = batch.column(1).to_numpy(zero_copy_only=False)
             labels = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(-1, DEPTH)
@@ -147,6 +155,8 @@ def _neighbours(forest: DataFrame, least_depth: int, least_match: float) -> Data
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(match)],
                 names=["a", "b", "match"],
             )
+        some = sorted(set(ends))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(some, pa.int64()), pa.array([-1.0] * len(some))], names=["a", "b", "match"])
 
     return forest.mapInArrow(run, "a long, b long, match double")
 
@@ -311,14 +321,20 @@ def near_duplicates(
         "classes",
     )
     forest = ws.keep(_labels(classes.select("id", "signature")), "forest")
-    ordered = forest.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    region = F.xxhash64("tree", F.substring("label", 1, 4 * least_depth))
+    ordered = forest.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("region", region)
     share = percent / 100
     least_match = max(0.1, share - 5 * (share * (1 - share) / SKETCH) ** 0.5)
+    near = ws.keep(_neighbours(ordered, least_depth, least_match), "neighbours")
+    regions = forest.select("id", "tree", region.alias("region"))
+    # Small regions at the ends of ranges, at most 48 for each range, have all their pairs compared.
+    at_ends = regions.join(near.filter("match < 0").select(F.col("a").alias("region")).distinct().hint("merge"), "region")
+    small = at_ends.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, WINDOW))
+    at_ends = ws.keep(at_ends.join(small.select("region").hint("merge"), "region").select("region", "id"), "ends")
+    over = at_ends.withColumnRenamed("id", "a").join(at_ends.withColumnRenamed("id", "b").hint("merge"), "region").filter("a < b")
     pairs = ws.keep(
-        _neighbours(ordered, least_depth, least_match).groupBy("a", "b").agg(F.max("match").alias("match")), "pairs"
+        near.filter("match >= 0").unionByName(over.select("a", "b", F.lit(0.0).alias("match"))).groupBy("a", "b").agg(F.max("match").alias("match")), "pairs"
     )
-    region = F.xxhash64("tree", F.substring("label", 1, 4 * least_depth))
-    regions = forest.select("id", "tree", region.alias("region"))
     crowded = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WINDOW)
     members = ws.keep(regions.join(crowded.select("region"), "region", "left_semi"), "members")
     ws.drop(forest)
@@ -327,7 +343,7 @@ def near_duplicates(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Hinted, so that every size takes the plan that large inputs need.
     texts = rows.join(needed.hint("merge"), "doc_id")
-    texts = ws.keep(texts.dropDuplicates(["doc_id"]) if _repeats(sets) else texts, "texts")
+    texts = ws.keep(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("signature").alias("signature")) if _repeats(sets) else texts, "texts")
     first = pairs.groupBy("b").agg(F.max(F.struct("match", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = ws.keep(_confirm(first, texts, shingle, percent), "links")
     groups = ws.keep(connected(links, ws), "groups")
