@@ -331,6 +331,38 @@ def test_chain_prefers_ordered_segments():
     assert best == good and rest == [[(11, 19, 5, 13)]]
 
 
+def test_chain_takes_near_predecessors_where_the_best_is_far():
+    chains = passages.chain([(0, 1000, 0, 1000), (1200, 1230, 1200, 1230), (1235, 3235, 1235, 3235)], 64)
+    assert sorted(map(len, chains)) == [1, 2]
+
+
+def test_parts_of_chains_with_low_identity_are_found():
+    rng = np.random.default_rng(19)
+    x = rng.integers(0, 1 << 60, 132).astype(np.uint64)
+    y = x.copy()
+    y[51:81] = rng.integers(0, 1 << 60, 30).astype(np.uint64)
+    for own in ([[0, 132, 0, 132]], [[0, 51, 0, 51], [81, 132, 81, 132]]):
+        found = passages.like_parts(np.array(own), x, 0, y, 0, 50, 0.8)
+        assert sorted((b0, b1) for b0, b1, *_ in found) == [(0, 51), (81, 132)]
+
+
+@pytest.mark.parametrize("partitions", [2, 37])
+def test_passages_over_the_borders_of_ranges(spark, docs_of, partitions):
+    """Every document repeats one passage: each range of seeds ends inside an equal seed."""
+    rng = random.Random(20)
+    shared = sentence(rng, 60)
+    rows = [(k, f"{sentence(rng, 30)} {shared} {sentence(rng, 30)}") for k in range(150)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = passages.repeated_passages(docs_of(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert {r["doc_id"] for r in found} == set(range(1, 150))
+
+
 def test_minimizers_cover_every_window():
     hashes = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
     at = set(passages.minimizers(hashes, 16).tolist())
