@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Several stages have no SQL form; tests/llm holds each stage against its own operator.
+#: Several stages have no SQL form; tests/llm holds the operators against brute force and the stages against them.
 ORACLE_SQL = None
 
 
