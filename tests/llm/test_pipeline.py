@@ -49,3 +49,27 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert [k for k in left if k < 200 and (k % 5 == 0 or k % 50 == 3)] == [] and len(left) >= 150
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in packed} == left
+
+
+def test_stages_on_odd_rows(spark, docs_of, odd_texts, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "the same few words here again")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = docs_of([*odd_texts, (7, odd_texts[6][1])])
+    stages = dict(corpus_pipeline.STAGES)
+    by = lambda x: sorted((r["doc_id"] or 0 for r in x.collect()))
+    # Without labels every score is below the threshold.
+    none = stages["quality"](spark, docs, d)
+    assert none.columns == docs.columns and by(none) == []
+    out = stages["lines"](spark, docs, d).collect()
+    assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 2, 3, 4, 5, 6, 7, 7, 8]
+    texts = {r["doc_id"]: r["text"] for r in out if r["doc_id"] != 7}
+    assert texts[1] is None and texts[5] == odd_texts[4][1] and texts[6] == "" and texts[8] == odd_texts[7][1]
+    assert sorted(r["text"] for r in out if r["doc_id"] == 7) == ["", odd_texts[6][1]]
+    near = stages["near_duplicates"](spark, docs, d)
+    assert near.columns == docs.columns and by(near) == [0, 1, 2, 3, 4, 5, 7, 7, 8]
+    clean = stages["decontamination"](spark, docs, d)
+    assert clean.columns == docs.columns and by(clean) == [0, 1, 2, 3, 4, 7, 7, 8]
+    empty = docs.filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0, name
