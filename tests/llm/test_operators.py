@@ -346,6 +346,22 @@ def test_parts_of_chains_with_low_identity_are_found():
         assert sorted((b0, b1) for b0, b1, *_ in found) == [(0, 51), (81, 132)]
 
 
+def test_passages_that_longer_chains_cover_are_found(docs_of):
+    """A longer chain whose identity is too low, a longer passage, and one that adds few words hide no source."""
+    rng = random.Random(21)
+    x = sentence(rng, 90).split(" ")
+    low = [f"{w}no" if k % 40 >= 25 else w for k, w in enumerate(x)]  # runs of 25 equal words, 0.67 in all
+    y = sentence(rng, 130).split(" ")
+    rows = [
+        (1, sentence(rng, 20) + " " + " ".join(low)), (2, " ".join(x[5:65]) + " " + sentence(rng, 20)), (3, " ".join(x)),
+        (11, " ".join(y[:100])), (12, sentence(rng, 10) + " " + " ".join(y[20:80])), (13, " ".join(y[60:120])), (14, " ".join(y)),
+    ]
+    found = passages.repeated_passages(docs_of(rows)).collect()
+    assert {(3, 2), (14, 11), (14, 13), (12, 11)} <= {(r["doc_id"], r["other_id"]) for r in found}
+    covered = {k for r in found if r["doc_id"] == 14 for k in range(r["from_word"], r["to_word"])}
+    assert covered == set(range(120))
+
+
 @pytest.mark.parametrize("partitions", [2, 37])
 def test_passages_over_the_borders_of_ranges(spark, docs_of, partitions):
     """Every document repeats one passage: each range of seeds ends inside an equal seed."""
