@@ -6,19 +6,20 @@ the end; a line with over ``CHARACTERS`` characters to the word, such as text wi
 words.
 
 Lines of ``LEAST_WORDS`` words or more are alike if they differ in at most one word, and from 20 words on in at most
-one word in twenty (edit distance over words; ``similarity`` is 0.95). They have a SimHash in blocks: each word votes,
-with the bits of its hash, in one block only, which its hash names. So a changed word (of over three bytes; others do not vote) alters two blocks at most, an
-added or lost one a single block, and by the pigeonhole principle lines that differ in e words have an equal block
-where there are 2 e + 1: 3 blocks of 30 bits for lines below 40 words, 5 below 60, 7 from there, where lines of 80
-words and more with as many changes nearly always still have an equal block. Where lengths meet, lines have the blocks of
-both kinds. Lines of 270 words and more vote with a part of their words that the hashes
-name, each word once, so no counter runs over. Blocks of one word, or of under a third of their share of a line's words, are no keys.
-
-Classes are joined on equal blocks: every class of a bucket with the bucket's most central class (the one whose buckets
-are largest), which is linear in the bucket. Pairs with a plausible distance over all blocks and plausible lengths are
-verified on the texts. Then, in buckets that still have several components, the classes outside the largest one are
-joined with all classes of other components, in salted parts of the bucket and with the edit distance in the join's
-condition, so no link of a bucket is left out, no bucket is capped and only links are written; the comparisons grow
+one word in twenty (edit distance over words; ``similarity`` is 0.95). Every such pair has an equal key:
+
+- Where one edit is allowed (to 39 words) one half of the line that is not longer is untouched. Keys are the halves of
+  the line's own length and of one word less, so that lines of n and n + 1 words meet at the halves of n.
+- Where e > 1 edits are allowed a line is cut into chunks behind words whose last character is in ``ENDS``. An edit
+  takes at most two chunks from a line, so of m chunks m - 2 e are in both lines. In any order of all chunks the first
+  2 e + 1 of each line then have one in common (prefix filter). The order is longest first, as those are rarest.
+- Two lines may both have at most 2 e chunks. Such lines have single words as chunks too, of which an edit takes one.
+
+Classes are joined on equal keys: every class of a bucket with the bucket's most central class (the one whose buckets
+are largest), which is linear in the bucket. Pairs of plausible lengths are verified on the texts. Then, in buckets
+that still have several components, the classes outside the largest one are
+joined with all classes of other components, by bands of length, in salted parts and with the edit distance in the
+join's condition, so no link of a bucket is left out, no bucket is capped and only links are written; the comparisons grow
 with the classes outside the largest component times the bucket. Links make groups; the first occurrence (by doc_id,
 then stored order for rows that share one, then line number) of each group stays and all other lines of it are cut.
 
@@ -30,6 +31,8 @@ name ``n_lines_cut`` passes through too, and the count is then left out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +40,9 @@ from .components import connected
 from .workspace import Workspace
 
 LEAST_WORDS, CHARACTERS = 10, 16
-MOST_BLOCKS, LONGS, LANES = 7, 3, 10
-_ONES = sum(1 << (6 * k) for k in range(LANES))
-#: (blocks, of how many words one votes, from, to): two lines whose lengths are as 9 to 10 are in a class together.
-CLASSES = [(3, 1, LEAST_WORDS, 44), (5, 1, 36, 66), (7, 1, 54, 300)] + [
-    (7, 4**k, 270 * 4 ** (k - 1), 300 * 4**k) for k in range(1, 11)
-]
-#: Bits that may differ over all blocks, by class. A changed word turns about a quarter of the bits of two blocks.
-MOST_APART = (26, 38, 52)
+PUNCTUATION = ".,;:!?"
+#: Last characters of the words behind which a chunk ends: about a third of words. Any set gives the same links.
+ENDS = "es147\u0430-\u0438\u0627-\u062c\u0905-\u091f\u3040-\u3060\u4e00-\u5fff\uac00-\ub8ff"
 PART = 512
 _ROW = "__ballotbook_row"
 
@@ -61,7 +59,7 @@ def tokens(norm: Column, by_space: Column) -> Column:
 
 def bare(word: Column) -> Column:
     """A word without punctuation at its end."""
-    return F.rtrim(word, F.lit(".,;:!?"))
+    return F.rtrim(word, F.lit(PUNCTUATION))
 
 
 def blank() -> Column:
@@ -78,77 +76,65 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "row", "line_no", normalised(F.col("line")).alias("norm")).withColumn("id", F.xxhash64("norm"))
 
 
-def _sketches(lines: DataFrame) -> DataFrame:
-    """(id, class, words, keys, b0 .. b3): the blocks of each line of ``LEAST_WORDS`` words; keys are of block contents."""
-    # One projection after another, and a number that no filter passes, so that nothing is split twice.
-    held = lines.select("id", "norm", F.split("norm", " ").alias("by_space"))
-    held = held.select("id", F.length("norm").alias("size"), tokens(F.col("norm"), F.col("by_space")).alias("t"))
-    held = held.select("id", "size", "t", F.size("t").alias("words"), F.monotonically_increasing_id().alias("line"))
-    classes = F.array_compact(F.array(*[
-        F.when((F.col("words") >= low) & (F.col("words") < high), F.lit(c)) for c, (_, _, low, high) in enumerate(CLASSES)
-    ]))
-    held = held.filter(F.col("words") >= LEAST_WORDS).withColumn("class", F.explode(classes))
-    # Words of up to three bytes do not vote, nor do ASCII characters that stand for words. In lines so long that
-    # counters could run over a word votes once.
-    least = F.when(F.col("words") == F.col("size"), 1).otherwise(3)
-    each = held.select("line", "id", "class", "words", least.alias("least"), F.explode(F.when(F.col("class") > 2, F.array_distinct("t")).otherwise(F.col("t"))).alias("w"))
-    each = each.filter(F.octet_length("w") > F.col("least")).select("line", "id", "class", "words", F.xxhash64(bare(F.col("w"))).alias("h"))
-    # Longer lines vote with one word in 4, 16 and so on; class 2 is the last in which all words vote.
-    share = F.expr("shiftleft(1L, 2 * greatest(class - 2, 0)) - 1")
-    each = each.filter((F.col("class") <= 2) | (F.xxhash64("h").bitwiseAND(share) == 0))
-    # Lanes take bits 0 to 2 of every six of the hash, the block is named by others.
-    named = F.shiftrightunsigned("h", 3).bitwiseAND(7) + F.shiftrightunsigned("h", 9).bitwiseAND(7) * 8 + F.shiftrightunsigned("h", 15).bitwiseAND(7) * 64
-    blocks = F.when(F.col("class") >= 2, 7).otherwise(3 + 2 * F.col("class"))
-    each = each.withColumn("p", F.pmod(named, blocks).cast("int"))
-    ones = F.lit(_ONES).cast("long")
-    votes = [F.shiftrightunsigned("h", j).bitwiseAND(ones) for j in range(LONGS)]
-    sums = each.groupBy("line", "id", "class", "words").agg(
-        F.sum(F.expr("shiftleft(1L, 9 * p)")).alias("counts"),
-        *[F.sum(F.when(F.col("p") == p, votes[j])).alias(f"s{p}_{j}") for p in range(MOST_BLOCKS) for j in range(LONGS)],
-    )
-    counts = [F.shiftrightunsigned("counts", 9 * p).bitwiseAND(511).cast("int").alias(f"n{p}") for p in range(MOST_BLOCKS)]
-    sums = sums.select("id", "class", "words", *counts, *[f"s{p}_{j}" for p in range(MOST_BLOCKS) for j in range(LONGS)])
-
-    def bits(p: int) -> Column:
-        """The bits of a block: bit 5 of a lane of votes + 31 - half the words says that the votes are over half."""
-        half = (F.lit(31).cast("long") - F.least(F.shiftright(f"n{p}", 1), F.lit(31))) * ones
-        out = F.lit(0).cast("long")
-        for j in range(LONGS):
-            # Votes over 31 keep their lower bits, so that no lane carries into the next.
-            over = F.shiftrightunsigned(F.coalesce(F.col(f"s{p}_{j}"), F.lit(0)).bitwiseAND(ones * 31) + half, 5).bitwiseAND(ones)
-            out = out.bitwiseOR(F.shiftleft(over, j))
-        return out
-
-    made = sums.select("id", "class", "words", *[f"n{p}" for p in range(MOST_BLOCKS)], *[bits(p).alias(f"x{p}") for p in range(MOST_BLOCKS)])
-    voters = sum((F.col(f"n{p}") for p in range(1, MOST_BLOCKS)), F.col("n0"))
-    number = F.when(F.col("class") >= 2, 7).otherwise(3 + 2 * F.col("class"))
-    keys = F.array_compact(F.array(*[
-        F.when((F.col(f"n{p}") > 1) & (F.col(f"n{p}") * 3 * number >= voters), F.xxhash64("class", F.lit(p), f"n{p}", f"x{p}"))
-        for p in range(MOST_BLOCKS)
-    ]))
-    # Lanes are six bits apart and three are in use: two blocks to a long.
-    two = lambda a, b: F.col(a).bitwiseOR(F.shiftleft(b, 3))
-    return made.select(
-        "id", "class", "words", keys.alias("keys"), two("x0", "x1").alias("b0"), two("x2", "x3").alias("b1"), two("x4", "x5").alias("b2"), F.col("x6").alias("b3")
-    )
-
-
 def allowed(longer: Column, similarity: float) -> Column:
     """Words in which lines may differ, by the words of the longer one."""
     return F.greatest(F.lit(1), F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
 
 
+def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
+    """(id, words, keys) of each line of ``LEAST_WORDS`` words; lines that are alike have an equal key."""
+    # One projection after another, and a number that no filter passes, so that nothing is worked out twice.
+    norm = F.col("norm")
+    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+    held = lines.select("id", "norm", (F.length(norm) > CHARACTERS * (spaces + 1)).alias("by_letter"))
+    # The words' text: a single space between words, no punctuation at their ends; of letters all punctuation alike.
+    plain = F.regexp_replace(F.trim(F.regexp_replace(norm, " {2,}", " ")), r"[.,;:!?]+(?= |\z)", "")
+    letters_ = F.translate(norm, PUNCTUATION, "." * len(PUNCTUATION))
+    held = held.select("id", "by_letter", F.when(F.col("by_letter"), letters_).otherwise(plain).alias("plain"))
+    blanks = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
+    held = held.select("id", "by_letter", "plain", F.when(F.col("by_letter"), F.length("plain")).otherwise(blanks + 1).alias("words"))
+    held = held.filter(F.col("words") >= LEAST_WORDS)
+    # The most edits that a line of at least as many words may have against this one.
+    longest = F.floor(F.col("words") / F.lit(similarity) + F.lit(1e-9))
+    held = held.withColumn("e", allowed(longest, similarity)).withColumn("one", allowed(F.col("words"), similarity) == 1)
+    each = F.when(F.col("by_letter"), F.split("plain", "")).otherwise(F.split("plain", " "))
+    chunks = F.when(F.col("by_letter"), F.split("plain", f"(?<=[{ENDS}])")).otherwise(F.split("plain", f"(?<=[{ENDS}]) "))
+    held = held.withColumn("chunks", F.when(F.col("e") > 1, F.filter(chunks, lambda c: c != "")))
+    poor = (F.col("e") > 1) & (F.size("chunks") <= 2 * F.col("e"))
+    held = held.select("id", "words", "e", "one", "chunks", poor.alias("poor"), F.when(F.col("one") | poor, each).alias("t"))
+
+    def prefix(of: Column, kind: int) -> Column:
+        """The first 2 e + 1 of all: eight bits of length, 55 of hash, in falling order."""
+        rank = lambda c: F.shiftleft(F.least(F.octet_length(c), F.lit(255)).cast("long"), 55).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(F.lit(kind), c), 9))
+        return F.array_distinct(F.slice(F.sort_array(F.transform(of, rank), asc=False), 1, 2 * F.col("e") + 1))
+
+    def halves(n: Column) -> list[Column]:
+        half = F.floor(n / 2).cast("int")
+        return [
+            F.xxhash64(F.lit(2), n, F.slice("t", F.lit(1), half)),
+            F.xxhash64(F.lit(3), n, F.slice("t", F.col("words") - n + half + 1, n - half)),
+        ]
+
+    none = F.array().cast("array<bigint>")
+    n = F.col("words")
+    shorter = F.when(n > LEAST_WORDS, F.array(*halves(n - 1))).otherwise(none)
+    keys = F.concat(
+        F.when(F.col("one"), F.concat(F.array(*halves(n)), shorter)).otherwise(none),
+        F.when(F.col("e") > 1, prefix(F.col("chunks"), 0)).otherwise(none),
+        F.when(F.col("poor"), prefix(F.col("t"), 1)).otherwise(none),
+    )
+    return held.select("id", "words", keys.alias("keys"))
+
+
 def _plausible(similarity: float) -> Column:
-    """Of two sketches (suffixes a and b) whether their lengths and bits allow the similarity."""
-    apart = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(4)), F.lit(0))
-    most = F.when(F.col("class") == 0, MOST_APART[0]).when(F.col("class") == 1, MOST_APART[1]).otherwise(MOST_APART[2])
+    """Of two lines (suffixes a and b) whether their lengths allow the similarity."""
     longer, shorter = F.greatest("words_a", "words_b"), F.least("words_a", "words_b")
-    # The lengths count empty pieces between spaces too: as many again may differ.
-    return (longer - shorter <= 2 * allowed(longer, similarity)) & (apart <= most)
+    return longer - shorter <= allowed(longer, similarity)
 
 
 def _side(members: DataFrame, side: str, *more: str) -> DataFrame:
-    return members.select("key", "class", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "words", "b0", "b1", "b2", "b3")])
+    return members.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "words")])
 
 
 def _pair(found: DataFrame) -> DataFrame:
@@ -156,36 +142,41 @@ def _pair(found: DataFrame) -> DataFrame:
 
 
 def _members(sketches: DataFrame, ws: Workspace) -> DataFrame:
-    """(key, class, id, words, b0 .. b3, pivot) of the classes in buckets of several, with the most central class of each."""
-    keyed = sketches.select(F.explode("keys").alias("key"), "id")
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("__a"), F.max("id").alias("__z"), F.count(F.lit(1)).alias("n")).filter("__a != __z")
-    shared = ws.keep(keyed.join(buckets.select("key", "n").hint("shuffle_hash"), "key").distinct(), "shared")
+    """(key, id, words, size, pivots) of the classes in buckets of several, with the most central classes of each."""
+    keyed = sketches.select(F.explode("keys").alias("key"), "id", "words")
+    ends = keyed.groupBy("key").agg(F.min("id").alias("__a"), F.max("id").alias("__z"))
+    buckets = ws.keep(ends.filter("__a != __z").select("key"), "buckets")
+    shared = ws.keep(keyed.join(buckets.hint("shuffle_hash"), "key").distinct(), "shared")
     # A class whose buckets are large is in the middle of its like: the least words changed from all others.
-    central = ws.keep(shared.groupBy("id").agg(F.sum("n").alias("size")), "central")
-    own = sketches.join(central.hint("shuffle_hash"), "id").dropDuplicates(["id", "class"])
-    own = own.select("id", "class", "words", "b0", "b1", "b2", "b3", "size", F.explode("keys").alias("key"))
-    members = ws.keep(own.join(shared.select("key").distinct().hint("shuffle_hash"), "key"), "members")
-    pivots = members.groupBy("key").agg(F.max("size").alias("size"))
-    pivots = members.join(pivots.hint("shuffle_hash"), ["key", "size"]).groupBy("key").agg(F.min("id").alias("pivot"))
-    return ws.keep(members.drop("size").join(pivots.hint("shuffle_hash"), "key"), "pivots")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = shared.join(sizes.hint("shuffle_hash"), "key").groupBy("id").agg(F.sum("n").alias("size"))
+    members = ws.keep(shared.join(central.hint("shuffle_hash"), "id"), "members")
+    return ws.keep(_with_pivots(members), "pivots")
+
 
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """The members with the most central class of their bucket and that among those of their own length."""
+    own = members.groupBy("key", "words").agg(F.max(F.struct("size", "id")).alias("most"))
+    of_key = own.groupBy("key").agg(F.max("most").alias("all"))
+    both = own.join(of_key.hint("shuffle_hash"), "key")
+    both = both.select("key", "words", F.array_distinct(F.array("most.id", "all.id")).alias("pivots"))
+    return members.join(both.hint("shuffle_hash"), ["key", "words"])
 
-def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Each class of a bucket with the bucket's most central one."""
-    pivots = _side(members.filter("id = pivot"), "a")
-    others = _side(members.filter("id != pivot"), "b")
-    return _pair(others.join(pivots.hint("shuffle_hash"), ["key", "class"]).filter(_plausible(similarity)))
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each class of a bucket with the pivots of the bucket."""
+    found = members.select("id", F.explode("pivots").alias("pivot")).filter("id != pivot")
+    return found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of buckets with several components: with component, largest component and number of parts."""
+    """The rows of buckets with several components: with component and largest component."""
     of = groups.select(F.col("node").alias("id"), "component")
-    rows = members.drop("pivot").join(of.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = members.drop("pivots").join(of.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = ws.keep(rows, "components")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"),
-        F.ceil(F.sum("n") / PART).alias("parts"),
     ).filter("k > 1").drop("k")
     return ws.keep(rows.join(mixed.hint("shuffle_hash"), "key"), "mixed")
 
@@ -195,17 +186,21 @@ def _rest_links(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
     The join's condition holds the edit distance, so only links leave it.
     """
-    rows = mixed.join(texts.select("id", "z", F.size("t").alias("size")).hint("shuffle_hash"), "id")
-    outside = F.col("component") != F.col("main")
-    own = ("part", "z", "size", "component", "outside")
-    rows = rows.withColumn("outside", outside)
-    one = rows.filter("outside").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    two = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    named = lambda f, side: _side(f, side, "part", *[F.col(c).alias(f"{c}_{side}") for c in own[1:]])
-    longer = allowed(F.greatest("size_a", "size_b"), similarity)
-    both = named(one, "a").join(named(two, "b"), ["key", "class", "part"]).filter(
+    rows = mixed.join(texts.select("id", "z", "g0", "g1").hint("shuffle_hash"), "id")
+    own = ("z", "g0", "g1", "component", "outside")
+    # Lines whose lengths allow the similarity are in the same or neighbouring bands of length.
+    band = F.floor(F.log(F.col("words")) / F.lit(-math.log(min(similarity, 1 - 1 / LEAST_WORDS) - 0.001))).cast("int")
+    rows = rows.withColumn("outside", F.col("component") != F.col("main")).withColumn("band", band)
+    parts = mixed.withColumn("band", band).groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).hint("shuffle_hash")
+    one = rows.filter("outside").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(parts, ["key", "band"])
+    one = one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    two = rows.join(parts, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    named = lambda f, side: _side(f, side, "band", "part", *[F.col(c).alias(f"{c}_{side}") for c in own])
+    longer = allowed(F.greatest("words_a", "words_b"), similarity)
+    turned = sum((F.bit_count(F.col(f"{g}_a").bitwiseXOR(F.col(f"{g}_b"))) for g in ("g0", "g1")), F.lit(0))
+    both = named(one, "a").join(named(two, "b"), ["key", "band", "part"]).filter(
         (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") < F.col("id_b")))
-        & _plausible(similarity) & (F.call_function("levenshtein", F.col("z_a"), F.col("z_b"), longer) >= 0)
+        & _plausible(similarity) & (turned <= 2 * longer) & (F.call_function("levenshtein", F.col("z_a"), F.col("z_b"), longer) >= 0)
     )
     return _pair(both)
 
@@ -236,12 +231,19 @@ def letters(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
+def _parity(words: Column, low: int) -> Column:
+    """64 bits, of which each word turns one, if its hash names one of these: an edit turns at most two."""
+    bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(1) == low, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(F.xxhash64(w))))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose lines have the edit similarity over words."""
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("x"), F.col("z").alias("xz"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("y"), F.col("z").alias("yz"))
+    left = texts.select(F.col("id").alias("a"), F.col("t").alias("x"), F.col("z").alias("xz"), F.col("g0").alias("x0"), F.col("g1").alias("x1"))
+    right = texts.select(F.col("id").alias("b"), F.col("t").alias("y"), F.col("z").alias("yz"), F.col("g0").alias("y0"), F.col("g1").alias("y1"))
     both = pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b")
-    close = both.withColumn("allowed", allowed(F.greatest(F.size("x"), F.size("y")), similarity)).filter(F.expr("levenshtein(xz, yz, allowed)") >= 0)
+    close = both.withColumn("allowed", allowed(F.greatest(F.size("x"), F.size("y")), similarity))
+    close = close.filter("bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= 2 * allowed").filter(F.expr("levenshtein(xz, yz, allowed)") >= 0)
     # Where two words share a letter the words' places in the pair's own list are letters: no two share one.
     own = F.array_distinct(F.concat("x", "y"))
     told = F.size(own) == F.size(F.array_distinct(F.split(F.concat("xz", "yz"), "")))
@@ -252,14 +254,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
     """(node, component) of the line classes that are linked to another."""
-    sketches = ws.keep(_sketches(lines), "sketches")
+    sketches = ws.keep(_sketches(lines, similarity), "sketches")
     members = _members(sketches, ws)
     ws.drop(sketches)
-    pairs = ws.keep(_first_pairs(members, similarity), "pairs")
+    pairs = ws.keep(_first_pairs(members), "pairs")
     # The texts of all classes that share a bucket are read once, for both rounds.
-    texts = ws.keep(_texts(lines, members.select("id").distinct(), ws).withColumn("z", letters(F.col("t"))), "texts")
+    texts = _texts(lines, members.select("id").distinct(), ws)
+    texts = ws.keep(texts.select("id", "t", letters(F.col("t")).alias("z"), _parity(F.col("t"), 0).alias("g0"), _parity(F.col("t"), 1).alias("g1")), "texts")
     links = ws.keep(_verified(pairs, texts, similarity), "links")
     groups = ws.keep(connected(links, ws), "groups")
+    # Once more with pivots among the classes outside the largest component, so that few are left for all pairs.
+    mixed = _mixed(members, groups, ws)
+    again = _first_pairs(_with_pivots(mixed.filter("component != main")))
+    links = ws.keep(links.unionByName(_verified(again, texts, similarity)), "links")
+    groups = ws.keep(connected(links, ws), "groups")
     mixed = _mixed(members, groups, ws)
     ws.drop(members)
     rest = ws.keep(_rest_links(mixed, texts, similarity), "rest")
@@ -295,7 +303,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.95) -> DataFrame:
     """The documents with repeated lines cut: all columns, and n_lines_cut.
 
     ``n_chars``, where it is a column, follows the new text. ``similarity`` is the least edit similarity over words
-    of linked lines from 20 words on; below 0.95 an equal block is no longer sure and more links are missed.
+    of linked lines, where it allows more than one edit.
     """
     # Hashes and counts hardly shrink beyond the dictionaries of the columns.
     ws = Workspace(docs.sparkSession, "lines", codec="uncompressed")

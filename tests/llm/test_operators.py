@@ -262,6 +262,31 @@ def test_lines_with_one_edit_are_found(docs_of):
         assert recall >= least and not any(out[10000 * size + 2 * k] for k in range(150))
 
 
+def test_no_like_lines_are_left_out(docs_of):
+    """All links at the threshold: short words, few different words, no ends of chunks, letters as words, and lengths
+    where the allowed edits change; against all pairs."""
+    rng, rows = random.Random(23), []
+    made = [
+        lambda n: [rng.choice("abcd") + rng.choice("xyz") for _ in range(n)],
+        lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)],
+        lambda n: ["word"] * (n // 2) + [f"q{rng.randrange(90)}x" for _ in range(n - n // 2)],
+        lambda n: [chr(0x5F00 + rng.randrange(800)) for _ in range(n)],
+    ]
+    for k in range(240):
+        n, kind = rng.choice([10, 11, 19, 20, 21, 38, 39, 40, 41, 59, 60, 100, 140]), k % 4
+        line = made[kind](n)
+        gap = "" if kind == 3 else " "
+        rows.append((2 * k, gap.join(line)))
+        for _ in range(max(1, n // 20)):
+            at = rng.randrange(len(line))
+            line[at : at + rng.choice([0, 1, 1])] = rng.choice([[], made[kind](2)[:1], made[kind](2)[:1]])
+        rows.append((2 * k + 1, gap.join(line)))
+    rng.shuffle(rows)
+    expected, links = true_lines_kept(rows)
+    assert links > 150
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(rows)).collect()} == dict(expected)
+
+
 def test_crowded_buckets_are_compared_whole(docs_of):
     """3,000 lines of one template, each like only a few others: groups as by brute force over the changed words."""
     rng = random.Random(7)
