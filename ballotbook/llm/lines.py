@@ -15,12 +15,12 @@ one word in twenty (edit distance over words; ``similarity`` is 0.95). Every suc
   2 e + 1 of each line then have one in common (prefix filter). The order is longest first, as those are rarest.
 - Two lines may both have at most 2 e chunks. Such lines have single words as chunks too, of which an edit takes one.
 
-Classes are joined on equal keys: every class of a bucket with the bucket's most central class (the one whose buckets
-are largest), which is linear in the bucket. Pairs of plausible lengths are verified on the texts. Then, in buckets
-that still have several components, the classes outside the largest one are
-joined with all classes of other components, by bands of length, in salted parts and with the edit distance in the
-join's condition, so no link of a bucket is left out, no bucket is capped and only links are written; the comparisons grow
-with the classes outside the largest component times the bucket. Links make groups; the first occurrence (by doc_id,
+Classes are joined on equal keys: every class of a bucket with the most central class (the one whose buckets are
+largest) of the bucket and of its own length there, and once more outside the largest component, which is linear in
+the bucket. Pairs are verified on the texts. Then, in buckets that still have several components, the classes outside
+the largest one are joined with all classes of other components, by bands of length and in salted parts; pairs whose
+lengths and whose words' parities allow the distance are verified. So no link of a bucket is left out and no bucket is
+capped; the comparisons grow with the classes outside the largest component times the bucket. Links make groups; the first occurrence (by doc_id,
 then stored order for rows that share one, then line number) of each group stays and all other lines of it are cut.
 
 Null and empty texts have one blank line, which stays. Very long texts are read whole, line by line. Ties: of equal
@@ -82,7 +82,7 @@ def allowed(longer: Column, similarity: float) -> Column:
 
 
 def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
-    """(id, words, keys) of each line of ``LEAST_WORDS`` words; lines that are alike have an equal key."""
+    """(line, id, words, keys) of each line of ``LEAST_WORDS`` words; lines that are alike have an equal key."""
     # One projection after another, and a number that no filter passes, so that nothing is worked out twice.
     norm = F.col("norm")
     spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
@@ -92,7 +92,9 @@ def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
     letters_ = F.translate(norm, PUNCTUATION, "." * len(PUNCTUATION))
     held = held.select("id", "by_letter", F.when(F.col("by_letter"), letters_).otherwise(plain).alias("plain"))
     blanks = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
-    held = held.select("id", "by_letter", "plain", F.when(F.col("by_letter"), F.length("plain")).otherwise(blanks + 1).alias("words"))
+    held = held.select(
+        "id", "by_letter", "plain", F.when(F.col("by_letter"), F.length("plain")).otherwise(blanks + 1).alias("words"), F.monotonically_increasing_id().alias("line")
+    )
     held = held.filter(F.col("words") >= LEAST_WORDS)
     # The most edits that a line of at least as many words may have against this one.
     longest = F.floor(F.col("words") / F.lit(similarity) + F.lit(1e-9))
@@ -101,7 +103,7 @@ def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
     chunks = F.when(F.col("by_letter"), F.split("plain", f"(?<=[{ENDS}])")).otherwise(F.split("plain", f"(?<=[{ENDS}]) "))
     held = held.withColumn("chunks", F.when(F.col("e") > 1, F.filter(chunks, lambda c: c != "")))
     poor = (F.col("e") > 1) & (F.size("chunks") <= 2 * F.col("e"))
-    held = held.select("id", "words", "e", "one", "chunks", poor.alias("poor"), F.when(F.col("one") | poor, each).alias("t"))
+    held = held.select("line", "id", "words", "e", "one", "chunks", poor.alias("poor"), F.when(F.col("one") | poor, each).alias("t"))
 
     def prefix(of: Column, kind: int) -> Column:
         """The first 2 e + 1 of all: eight bits of length, 55 of hash, in falling order."""
@@ -124,7 +126,7 @@ def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
         F.when(F.col("e") > 1, prefix(F.col("chunks"), 0)).otherwise(none),
         F.when(F.col("poor"), prefix(F.col("t"), 1)).otherwise(none),
     )
-    return held.select("id", "words", keys.alias("keys"))
+    return held.select("line", "id", "words", keys.alias("keys"))
 
 
 def _plausible(similarity: float) -> Column:
@@ -181,13 +183,11 @@ def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
     return ws.keep(rows.join(mixed.hint("shuffle_hash"), "key"), "mixed")
 
 
-def _rest_links(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of like lines among the classes outside the largest component of a bucket and all classes of others.
-
-    The join's condition holds the edit distance, so only links leave it.
-    """
-    rows = mixed.join(texts.select("id", "z", "g0", "g1").hint("shuffle_hash"), "id")
-    own = ("z", "g0", "g1", "component", "outside")
+def _rest_pairs(mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines whose lengths and parities allow the similarity, among the classes outside the largest component
+    of a bucket and all classes of others. No text is copied."""
+    rows = mixed.join(marks.hint("shuffle_hash"), "id")
+    own = ("g0", "g1", "component", "outside")
     # Lines whose lengths allow the similarity are in the same or neighbouring bands of length.
     band = F.floor(F.log(F.col("words")) / F.lit(-math.log(min(similarity, 1 - 1 / LEAST_WORDS) - 0.001))).cast("int")
     rows = rows.withColumn("outside", F.col("component") != F.col("main")).withColumn("band", band)
@@ -200,7 +200,7 @@ def _rest_links(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     turned = sum((F.bit_count(F.col(f"{g}_a").bitwiseXOR(F.col(f"{g}_b"))) for g in ("g0", "g1")), F.lit(0))
     both = named(one, "a").join(named(two, "b"), ["key", "band", "part"]).filter(
         (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") < F.col("id_b")))
-        & _plausible(similarity) & (turned <= 2 * longer) & (F.call_function("levenshtein", F.col("z_a"), F.col("z_b"), longer) >= 0)
+        & _plausible(similarity) & (turned <= 2 * longer)
     )
     return _pair(both)
 
@@ -260,7 +260,10 @@ def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame
     pairs = ws.keep(_first_pairs(members), "pairs")
     # The texts of all classes that share a bucket are read once, for both rounds.
     texts = _texts(lines, members.select("id").distinct(), ws)
-    texts = ws.keep(texts.select("id", "t", letters(F.col("t")).alias("z"), _parity(F.col("t"), 0).alias("g0"), _parity(F.col("t"), 1).alias("g1")), "texts")
+    texts = Workspace(lines.sparkSession, "line_texts").keep(
+        texts.select("id", "t", letters(F.col("t")).alias("z"), _parity(F.col("t"), 0).alias("g0"), _parity(F.col("t"), 1).alias("g1")), "texts"
+    )
+    marks = texts.select("id", "g0", "g1")
     links = ws.keep(_verified(pairs, texts, similarity), "links")
     groups = ws.keep(connected(links, ws), "groups")
     # Once more with pivots among the classes outside the largest component, so that few are left for all pairs.
@@ -270,7 +273,7 @@ def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame
     groups = ws.keep(connected(links, ws), "groups")
     mixed = _mixed(members, groups, ws)
     ws.drop(members)
-    rest = ws.keep(_rest_links(mixed, texts, similarity), "rest")
+    rest = ws.keep(_rest_pairs(mixed, marks, similarity), "rest")
     more = ws.keep(_verified(rest, texts, similarity), "more")
     if more.limit(1).count():
         groups = ws.keep(connected(links.unionByName(more), ws), "groups")
