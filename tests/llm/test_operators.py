@@ -387,6 +387,56 @@ def test_passages_that_longer_chains_cover_are_found(docs_of):
     assert covered == set(range(120))
 
 
+def rows_of_joins(frame):
+    """Output rows of each join, once the frame has been collected."""
+    frame.collect()
+    todo, out = [frame._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+    return out
+
+
+def test_chains_of_repeated_words_are_not_joined_one_by_one(spark):
+    """Of 400 chains of one pair of documents the documents' groups are looked up once."""
+    chains = [(9, a, bytearray(16), k, k + 8, 0, 8, False) for a in (1, 2) for k in range(0, 3200, 8)]
+    others = spark.createDataFrame(chains, "b long, a long, segments binary, b_from int, b_to int, a_from int, a_to int, first boolean")
+    spans = [(9, 1000, 1500, 1, False), (9, 1600, 3210, 1, True), (9, 0, 900, 1, False), (9, 900, 1000, 1, False)]
+    found = spark.createDataFrame(spans, "doc_id long, from_word int, to_word int, other_id long, at_end boolean")
+    groups = spark.createDataFrame([(9, 1), (1, 1)], "node long, component long")
+    kept = passages._may_add(others, found, groups, 23)
+    got = {(r["a"], r["b_from"]) for r in kept.collect()}
+    assert got == {(2, k) for k in range(0, 3200, 8)} | {(1, k) for k in range(0, 3200, 8) if k + 8 + 23 > 1500 and k - 23 < 1600}
+    assert max(rows_of_joins(kept)) <= 2
+
+
+def test_words_over_and_over_are_one_chain_a_pair(spark):
+    """A word pair over and over in each of 40 documents: a chain for each range of words, not for each occurrence."""
+    texts = [(k, " ".join(["to be"] * (150 if k % 2 else 400)) + f" end{k}") for k in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    seeds = passages._seeds(frame, 8, 16, 50).coalesce(1).sortWithinPartitions("seed", "doc", "pos")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("64", "10000"):  # runs over the borders of batches, and within them
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            anchors = passages._anchors(seeds, 16).filter("b_pos >= 0").coalesce(1).sortWithinPartitions("b", "a", "b_pos")
+            assert passages._chains(anchors, 8, 16, 64, 16).count() <= 40 * 8
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    spans = defaultdict(set)
+    for r in passages.repeated_passages(frame).collect():
+        spans[r["doc_id"]] |= set(range(r["from_word"], r["to_word"]))
+    assert all(len(spans[k]) >= (299 if k % 2 else 799) for k in range(1, 40))
+
+
 @pytest.mark.parametrize("partitions", [2, 37])
 def test_passages_over_the_borders_of_ranges(spark, docs_of, partitions):
     """Every document repeats one passage: each range of seeds ends inside an equal seed."""
