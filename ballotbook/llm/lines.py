@@ -17,11 +17,14 @@ one word in twenty (edit distance over words; ``similarity`` is 0.95). Every suc
 
 Classes are joined on equal keys: every class of a bucket with the most central class (the one whose buckets are
 largest) of the bucket and of its own length there, and once more outside the largest component, which is linear in
-the bucket. Pairs are verified on the texts. Then, in buckets that still have several components, the classes outside
-the largest one are joined with all classes of other components, by bands of length and in salted parts; pairs whose
-lengths and whose words' parities allow the distance are verified. So no link of a bucket is left out and no bucket is
-capped; the comparisons grow with the classes outside the largest component times the bucket. Links make groups; the first occurrence (by doc_id,
-then stored order for rows that share one, then line number) of each group stays and all other lines of it are cut.
+the bucket. Pairs are verified on the texts. Classes of buckets of over ``CROWDED`` rows that still have several
+components get finer keys: an edit takes at most two pairs of neighbouring words from a line, so in any order of all such
+pairs the first 2 e + 1 of each of two like lines have one in common. The order is rarest first, so that lines of one
+template share a key only where the same words are changed alike. Buckets of these keys have pivots too. Last, in every
+bucket with several components the classes outside the largest one are joined with all classes of other components, by
+bands of length and in salted parts; pairs whose lengths and whose words' parities allow the distance are verified. So no
+link of a bucket is left out and no bucket is capped. Links make groups; the first occurrence (by doc_id, then stored
+order for rows that share one, then line number) of each group stays and all other lines of it are cut.
 
 Null and empty texts have one blank line, which stays. Very long texts are read whole, line by line. Ties: of equal
 lines of one document the upper one stays. Rows without doc_id stay as they are and are not compared. Repeated rows
@@ -33,7 +36,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -44,6 +47,8 @@ PUNCTUATION = ".,;:!?"
 #: Last characters of the words behind which a chunk ends: about a third of words. Any set gives the same links.
 ENDS = "es147\u0430-\u0438\u0627-\u062c\u0905-\u091f\u3040-\u3060\u4e00-\u5fff\uac00-\ub8ff"
 PART = 512
+#: Rows of a bucket up to which classes outside its largest component meet the others by the bucket's own key.
+CROWDED = 64
 _ROW = "__ballotbook_row"
 
 
@@ -172,22 +177,46 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of buckets with several components: with component and largest component."""
+    """The rows of buckets with several components: with component, largest component and the bucket's rows."""
     of = groups.select(F.col("node").alias("id"), "component")
     rows = members.drop("pivots").join(of.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = ws.keep(rows, "components")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"),
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"),
     ).filter("k > 1").drop("k")
     return ws.keep(rows.join(mixed.hint("shuffle_hash"), "key"), "mixed")
 
 
+def _finer(crowded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, words, size, poor, keys, p0 to p7): the rarest pairs of neighbouring words of each class, where there are
+    more than edits may take (else ``poor``), and more bits of parity."""
+    own = crowded.groupBy("id").agg(F.first("words").alias("words"), F.first("size").alias("size"))
+    held = own.join(texts.select("id", "t").hint("shuffle_hash"), "id")
+    edge = F.array(F.lit(""))
+    two = F.zip_with(F.concat(edge, "t"), F.concat("t", edge), lambda a, b: F.xxhash64(F.lit(4), a, b))
+    longest = F.floor(F.col("words") / F.lit(similarity) + F.lit(1e-9))
+    marks = [f"p{g}" for g in range(8)]
+    bits = [_parity(F.col("t"), g, 8).alias(m) for g, m in enumerate(marks)]
+    held = held.select("id", "words", "size", *bits, two.alias("two"), (2 * allowed(longest, similarity)).alias("gone"))
+    each = held.select("id", "gone", F.explode("two").alias("two"))
+    # The second of equal pairs in a line is another key than the first.
+    nth = F.row_number().over(Window.partitionBy("id", "two").orderBy("two"))
+    each = each.select("id", "gone", F.xxhash64("two", nth).alias("key"))
+    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rare = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("all"), F.first("gone").alias("gone"))
+    first = F.filter(F.slice("all", F.lit(1), F.col("gone") + 1), lambda x: x["n"] > 1)
+    rare = rare.select("id", F.transform(first, lambda x: x["key"]).alias("keys"))
+    return held.select("id", "words", "size", *marks, (F.size("two") <= F.col("gone")).alias("poor")).join(rare.hint("shuffle_hash"), "id")
+
+
 def _rest_pairs(mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Pairs of lines whose lengths and parities allow the similarity, among the classes outside the largest component
-    of a bucket and all classes of others. No text is copied."""
+    of a bucket and all classes of others. No text is copied. Where ``marks`` has keys, pairs meet at their least
+    common one only."""
     rows = mixed.join(marks.hint("shuffle_hash"), "id")
-    own = ("g0", "g1", "component", "outside")
+    own = tuple(marks.drop("id").columns) + ("component", "outside")
+    parities = [[g for g in own if g in names] for names in (("g0", "g1"), [f"p{g}" for g in range(8)])]
     # Lines whose lengths allow the similarity are in the same or neighbouring bands of length.
     band = F.floor(F.log(F.col("words")) / F.lit(-math.log(min(similarity, 1 - 1 / LEAST_WORDS) - 0.001))).cast("int")
     rows = rows.withColumn("outside", F.col("component") != F.col("main")).withColumn("band", band)
@@ -197,10 +226,11 @@ def _rest_pairs(mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFr
     two = rows.join(parts, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     named = lambda f, side: _side(f, side, "band", "part", *[F.col(c).alias(f"{c}_{side}") for c in own])
     longer = allowed(F.greatest("words_a", "words_b"), similarity)
-    turned = sum((F.bit_count(F.col(f"{g}_a").bitwiseXOR(F.col(f"{g}_b"))) for g in ("g0", "g1")), F.lit(0))
+    turned = [sum((F.bit_count(F.col(f"{g}_a").bitwiseXOR(F.col(f"{g}_b"))) for g in names), F.lit(0)) for names in parities]
+    least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key") if "keys" in own else F.lit(True)
     both = named(one, "a").join(named(two, "b"), ["key", "band", "part"]).filter(
         (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") < F.col("id_b")))
-        & _plausible(similarity) & (turned <= 2 * longer)
+        & _plausible(similarity) & (turned[0] <= 2 * longer) & (turned[1] <= 2 * longer) & least
     )
     return _pair(both)
 
@@ -231,9 +261,9 @@ def letters(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def _parity(words: Column, low: int) -> Column:
-    """64 bits, of which each word turns one, if its hash names one of these: an edit turns at most two."""
-    bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(1) == low, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+def _parity(words: Column, low: int, of: int = 2) -> Column:
+    """64 bits, of which each word turns one, if its hash names one of these: an edit turns at most two in all ``of``."""
+    bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(of - 1) == low, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(F.xxhash64(w))))
 
 
@@ -273,7 +303,20 @@ def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame
     groups = ws.keep(connected(links, ws), "groups")
     mixed = _mixed(members, groups, ws)
     ws.drop(members)
-    rest = ws.keep(_rest_pairs(mixed, marks, similarity), "rest")
+    crowded = mixed.filter(F.col("rows") > CROWDED)
+    if crowded.limit(1).count():
+        finer = ws.keep(_finer(crowded, texts, similarity), "finer")
+        keyed = ws.keep(finer.select(F.explode("keys").alias("key"), "id", "words", "size"), "finer_keys")
+        links = ws.keep(links.unionByName(_verified(_first_pairs(_with_pivots(keyed)), texts, similarity)), "links")
+        groups = ws.keep(connected(links, ws), "groups")
+        # By their old keys the classes of crowded buckets meet only where both have too few pairs of words.
+        few = crowded.join(finer.filter("poor").select("id").hint("shuffle_hash"), "id", "left_semi")
+        old = mixed.filter(F.col("rows") <= CROWDED).unionByName(few).select(*keyed.columns)
+        kinds = marks.join(finer.drop("words", "size", "poor").hint("shuffle_hash"), "id")
+        fine = _rest_pairs(_mixed(keyed, groups, ws), kinds, similarity)
+        rest = ws.keep(_rest_pairs(_mixed(old, groups, ws), marks, similarity).unionByName(fine).distinct(), "rest")
+    else:
+        rest = ws.keep(_rest_pairs(mixed, marks, similarity), "rest")
     more = ws.keep(_verified(rest, texts, similarity), "more")
     if more.limit(1).count():
         groups = ws.keep(connected(links.unionByName(more), ws), "groups")

@@ -300,6 +300,31 @@ def test_crowded_buckets_are_compared_whole(docs_of):
     assert [i for i, n in out.items() if not n] == [0, 5000]
 
 
+def test_long_lines_of_one_pair_of_words_are_not_compared_in_pairs(docs_of, monkeypatch):
+    """120 lines of 700 words, like in all but 60 words each: few of the 7,140 pairs are verified, the like ones found."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(120):
+        own = [f"x{k}w{j}e" for j in range(60)]
+        rows.append((k, " ".join([*own, *["to", "be"] * 320])))
+        if k % 10 == 0:
+            for j in rng.sample(range(60), 30):
+                own[j] += "s"
+            rows.append((1000 + k, " ".join([*own, *["to", "be"] * 320])))
+    rest, keep = [], lines.Workspace.keep
+
+    def spy(self, df, label):
+        out = keep(self, df, label)
+        if label == "rest":
+            rest.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Workspace, "keep", spy)
+    out = {r["doc_id"]: r["n_lines_cut"] for r in lines.dedup_lines(docs_of(rows)).collect()}
+    assert out == {k: int(k >= 1000) for k, _ in rows}
+    assert sum(rest) < 700
+
+
 def test_lines_odd_rows(docs_of, odd_texts):
     many = "\n".join(f"line number {k} of a long document with {k * 7} words" for k in range(3000))
     frame = docs_of([*odd_texts, (9, many), (10, many)])
