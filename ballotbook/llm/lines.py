@@ -185,7 +185,10 @@ def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
     mixed = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"),
     ).filter("k > 1").drop("k")
-    return ws.keep(rows.join(mixed.hint("shuffle_hash"), "key"), "mixed")
+    out = ws.keep(rows.join(mixed.hint("shuffle_hash"), "key"), "mixed")
+    ws.drop(rows)
+    ws.release()
+    return out
 
 
 def _finer(crowded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -287,6 +290,7 @@ def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame
     sketches = ws.keep(_sketches(lines, similarity), "sketches")
     members = _members(sketches, ws)
     ws.drop(sketches)
+    ws.release()
     pairs = ws.keep(_first_pairs(members), "pairs")
     # The texts of all classes that share a bucket are read once, for both rounds.
     texts = _texts(lines, members.select("id").distinct(), ws)
@@ -295,6 +299,8 @@ def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame
     )
     marks = texts.select("id", "g0", "g1")
     links = ws.keep(_verified(pairs, texts, similarity), "links")
+    ws.drop(pairs)
+    ws.release()
     groups = ws.keep(connected(links, ws), "groups")
     # Once more with pivots among the classes outside the largest component, so that few are left for all pairs.
     mixed = _mixed(members, groups, ws)
