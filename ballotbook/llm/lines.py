@@ -57,14 +57,9 @@ def normalised(line: Column) -> Column:
     return F.lower(F.rtrim(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit(" \r")))
 
 
-def tokens(norm: Column, by_space: Column) -> Column:
-    """The words of a normalised line, or its characters where spaces are rare."""
-    return F.when(F.length(norm) > CHARACTERS * F.size(by_space), F.split(norm, "")).otherwise(by_space)
-
-
-def bare(word: Column) -> Column:
-    """A word without punctuation at its end."""
-    return F.rtrim(word, F.lit(PUNCTUATION))
+def words_of(plain: Column, by_letter: Column) -> Column:
+    """The words of a line's plain text."""
+    return F.when(by_letter, F.split(plain, "")).otherwise(F.split(plain, " "))
 
 
 def blank() -> Column:
@@ -73,12 +68,13 @@ def blank() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, norm, id) of every line of documents with an id."""
+    """(doc_id, row, line_no, norm, id) of every line of documents with an id that is not blank."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     each = docs.filter("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(_ROW).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
-    return each.select("doc_id", "row", "line_no", normalised(F.col("line")).alias("norm")).withColumn("id", F.xxhash64("norm"))
+    each = each.select("doc_id", "row", "line_no", normalised(F.col("line")).alias("norm"))
+    return each.withColumn("id", F.xxhash64("norm")).filter(F.col("id") != blank())
 
 
 def allowed(longer: Column, similarity: float) -> Column:
@@ -87,28 +83,34 @@ def allowed(longer: Column, similarity: float) -> Column:
 
 
 def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
-    """(line, id, words, keys) of each line of ``LEAST_WORDS`` words; lines that are alike have an equal key."""
+    """The lines with by_letter, plain, words and keys, all null below ``LEAST_WORDS`` words; lines that are alike have
+    an equal key."""
     # One projection after another, and a number that no filter passes, so that nothing is worked out twice.
-    norm = F.col("norm")
-    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
-    held = lines.select("id", "norm", (F.length(norm) > CHARACTERS * (spaces + 1)).alias("by_letter"))
+    norm, place = F.col("norm"), ("doc_id", "row", "line_no", "id")
+    held = lines.select(*place, "norm", F.size(F.split("norm", " ")).alias("n"))
+    # A line of at most that many bytes has no more characters.
+    long = (F.octet_length("norm") > CHARACTERS * F.col("n")) & (F.length("norm") > CHARACTERS * F.col("n"))
+    odd = F.contains(norm, F.lit("  ")) | F.startswith(norm, F.lit(" "))
+    held = held.select(*place, "norm", "n", long.alias("by_letter"), odd.alias("odd"))
     # The words' text: a single space between words, no punctuation at their ends; of letters all punctuation alike.
-    plain = F.regexp_replace(F.trim(F.regexp_replace(norm, " {2,}", " ")), r"[.,;:!?]+(?= |\z)", "")
+    single = F.when(F.col("odd"), F.trim(F.regexp_replace(norm, " {2,}", " "))).otherwise(norm)
+    plain = F.regexp_replace(single, r"[.,;:!?]+(?= |\z)", "")
     letters_ = F.translate(norm, PUNCTUATION, "." * len(PUNCTUATION))
-    held = held.select("id", "by_letter", F.when(F.col("by_letter"), letters_).otherwise(plain).alias("plain"))
-    blanks = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
+    some = F.col("by_letter") | (F.col("n") >= LEAST_WORDS)
+    held = held.select(*place, "by_letter", "odd", "n", F.when(some, F.when(F.col("by_letter"), letters_).otherwise(plain)).alias("plain"))
+    words = F.when(F.col("odd"), F.size(F.split("plain", " "))).otherwise(F.col("n"))
+    held = held.select(*place, "by_letter", "plain", F.when(F.col("by_letter"), F.length("plain")).otherwise(words).alias("words"))
+    enough = F.col("words") >= LEAST_WORDS
     held = held.select(
-        "id", "by_letter", "plain", F.when(F.col("by_letter"), F.length("plain")).otherwise(blanks + 1).alias("words"), F.monotonically_increasing_id().alias("line")
+        *place, "by_letter", F.when(enough, F.col("plain")).alias("plain"), F.when(enough, F.col("words")).alias("words"), F.monotonically_increasing_id().alias("line")
     )
-    held = held.filter(F.col("words") >= LEAST_WORDS)
     # The most edits that a line of at least as many words may have against this one.
     longest = F.floor(F.col("words") / F.lit(similarity) + F.lit(1e-9))
     held = held.withColumn("e", allowed(longest, similarity)).withColumn("one", allowed(F.col("words"), similarity) == 1)
-    each = F.when(F.col("by_letter"), F.split("plain", "")).otherwise(F.split("plain", " "))
-    chunks = F.when(F.col("by_letter"), F.split("plain", f"(?<=[{ENDS}])")).otherwise(F.split("plain", f"(?<=[{ENDS}]) "))
-    held = held.withColumn("chunks", F.when(F.col("e") > 1, F.filter(chunks, lambda c: c != "")))
+    chunks = F.when(F.col("by_letter"), F.split("plain", f"(?<=[{ENDS}])")).otherwise(F.split("plain", f" (?<=[{ENDS}] )"))
+    held = held.withColumn("chunks", F.when(F.col("e") > 1, F.array_remove(chunks, "")))
     poor = (F.col("e") > 1) & (F.size("chunks") <= 2 * F.col("e"))
-    held = held.select("line", "id", "words", "e", "one", "chunks", poor.alias("poor"), F.when(F.col("one") | poor, each).alias("t"))
+    held = held.withColumn("poor", poor).withColumn("t", F.when(F.col("poor"), words_of(F.col("plain"), F.col("by_letter"))))
 
     def prefix(of: Column, kind: int) -> Column:
         """The first 2 e + 1 of all: eight bits of length, 55 of hash, in falling order."""
@@ -117,10 +119,12 @@ def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
         return F.array_distinct(F.slice(F.sort_array(F.transform(of, rank), asc=False), 1, 2 * F.col("e") + 1))
 
     def halves(n: Column) -> list[Column]:
-        half = F.floor(n / 2).cast("int")
+        half, text = F.floor(n / 2).cast("int"), F.col("plain")
+        part = lambda words, letters: F.when(F.col("by_letter"), letters).otherwise(words)
+        count = lambda k: F.call_function("substring_index", text, F.lit(" "), k)
         return [
-            F.xxhash64(F.lit(2), n, F.slice("t", F.lit(1), half)),
-            F.xxhash64(F.lit(3), n, F.slice("t", F.col("words") - n + half + 1, n - half)),
+            F.xxhash64(F.lit(2), n, part(count(half), F.substring(text, F.lit(1), half))),
+            F.xxhash64(F.lit(3), n, part(count(half - n), F.substring(text, F.col("words") - n + half + 1, n - half))),
         ]
 
     none = F.array().cast("array<bigint>")
@@ -131,7 +135,7 @@ def _sketches(lines: DataFrame, similarity: float) -> DataFrame:
         F.when(F.col("e") > 1, prefix(F.col("chunks"), 0)).otherwise(none),
         F.when(F.col("poor"), prefix(F.col("t"), 1)).otherwise(none),
     )
-    return held.select("line", "id", "words", keys.alias("keys"))
+    return held.select(*place, "line", "by_letter", "plain", "words", F.when(n.isNotNull(), keys).alias("keys"))
 
 
 def _plausible(similarity: float) -> Column:
@@ -148,17 +152,22 @@ def _pair(found: DataFrame) -> DataFrame:
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _members(sketches: DataFrame, ws: Workspace) -> DataFrame:
-    """(key, id, words, size, pivots) of the classes in buckets of several, with the most central classes of each."""
-    keyed = sketches.select(F.explode("keys").alias("key"), "id", "words")
+def _members(sketches: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The pairs of the buckets of two classes, and (key, id, words, size, pivots) of the classes in larger buckets, with
+    the most central classes of each."""
+    keyed = sketches.filter("words is not null").select(F.explode("keys").alias("key"), "id", "words")
     ends = keyed.groupBy("key").agg(F.min("id").alias("__a"), F.max("id").alias("__z"))
     buckets = ws.keep(ends.filter("__a != __z").select("key"), "buckets")
+    ws.release()
     shared = ws.keep(keyed.join(buckets.hint("shuffle_hash"), "key").distinct(), "shared")
+    ws.release()
+    sizes = ws.keep(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")), "sizes")
+    two = sizes.filter("n = 2").select("a", "b").distinct()
+    shared = ws.keep(shared.join(sizes.filter("n > 2").select("key", "n").hint("shuffle_hash"), "key"), "larger")
     # A class whose buckets are large is in the middle of its like: the least words changed from all others.
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    central = shared.join(sizes.hint("shuffle_hash"), "key").groupBy("id").agg(F.sum("n").alias("size"))
-    members = ws.keep(shared.join(central.hint("shuffle_hash"), "id"), "members")
-    return ws.keep(_with_pivots(members), "pivots")
+    central = shared.groupBy("id").agg(F.sum("n").alias("size"))
+    members = ws.keep(shared.drop("n").join(central.hint("shuffle_hash"), "id"), "members")
+    return two, ws.keep(_with_pivots(members), "pivots")
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
@@ -179,7 +188,7 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of buckets with several components: with component, largest component and the bucket's rows."""
     of = groups.select(F.col("node").alias("id"), "component")
-    rows = members.drop("pivots").join(of.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = members.select("key", "id", "words", "size").join(of.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = ws.keep(rows, "components")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(
@@ -191,17 +200,18 @@ def _mixed(members: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
     return out
 
 
-def _finer(crowded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _finer(crowded: DataFrame, texts: DataFrame, similarity: float, ws: Workspace) -> DataFrame:
     """(id, words, size, poor, keys, p0 to p7): the rarest pairs of neighbouring words of each class, where there are
     more than edits may take (else ``poor``), and more bits of parity."""
-    own = crowded.groupBy("id").agg(F.first("words").alias("words"), F.first("size").alias("size"))
-    held = own.join(texts.select("id", "t").hint("shuffle_hash"), "id")
+    own = crowded.groupBy("id").agg(F.first("size").alias("size"))
+    held = texts.join(own.hint("shuffle_hash"), "id").select("id", "words", "size", "plain", "by_letter")
+    held = ws.keep(held, "crowded").select("id", "words", "size", words_of(F.col("plain"), F.col("by_letter")).alias("t"))
     edge = F.array(F.lit(""))
     two = F.zip_with(F.concat(edge, "t"), F.concat("t", edge), lambda a, b: F.xxhash64(F.lit(4), a, b))
     longest = F.floor(F.col("words") / F.lit(similarity) + F.lit(1e-9))
-    marks = [f"p{g}" for g in range(8)]
-    bits = [_parity(F.col("t"), g, 8).alias(m) for g, m in enumerate(marks)]
-    held = held.select("id", "words", "size", *bits, two.alias("two"), (2 * allowed(longest, similarity)).alias("gone"))
+    marks = tuple(f"p{g}" for g in range(8))
+    bits = _parities(held.select("id", "t"), marks)
+    held = held.select("id", "words", "size", two.alias("two"), (2 * allowed(longest, similarity)).alias("gone"))
     each = held.select("id", "gone", F.explode("two").alias("two"))
     # The second of equal pairs in a line is another key than the first.
     nth = F.row_number().over(Window.partitionBy("id", "two").orderBy("two"))
@@ -210,7 +220,8 @@ def _finer(crowded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     rare = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("all"), F.first("gone").alias("gone"))
     first = F.filter(F.slice("all", F.lit(1), F.col("gone") + 1), lambda x: x["n"] > 1)
     rare = rare.select("id", F.transform(first, lambda x: x["key"]).alias("keys"))
-    return held.select("id", "words", "size", *marks, (F.size("two") <= F.col("gone")).alias("poor")).join(rare.hint("shuffle_hash"), "id")
+    poor = held.select("id", "size", (F.size("two") <= F.col("gone")).alias("poor")).join(rare.hint("shuffle_hash"), "id")
+    return poor.join(bits.hint("shuffle_hash"), "id")
 
 
 def _rest_pairs(mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -242,19 +253,17 @@ def _rest_pairs(mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFr
 NEEDED_BITS = 25
 
 
-def _texts(lines: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
-    """(id, t): the words of each class of ``ids``. A bit table sorts most other lines out before the exchange."""
+def _texts(sketches: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
+    """(id, words, by_letter, plain) of each class of ``ids``. A bit table sorts most other lines out before the exchange."""
     ids = ws.keep(ids, "needed")
     spread = F.shiftrightunsigned(F.xxhash64("id"), 64 - NEEDED_BITS)
     words = ids.groupBy(F.shiftright(spread, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - NEEDED_BITS}) & 63 as int))")).alias("bits"))
     every = ids.sparkSession.range(1 << (NEEDED_BITS - 6)).withColumnRenamed("id", "at")
     dense = every.join(words, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     table = ws.keep(dense.agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.col("x.bits").alias("bits")), "bits")
-    held = lines.select("id", "norm").join(F.broadcast(table))  # one row of fixed size
+    held = sketches.select("id", "words", "by_letter", "plain").filter("words is not null").join(F.broadcast(table))  # one row of fixed size
     bit = F.expr(f"shiftrightunsigned(bits[cast(shiftright(shiftrightunsigned(xxhash64(id), {64 - NEEDED_BITS}), 6) as int)], cast(shiftrightunsigned(xxhash64(id), {64 - NEEDED_BITS}) & 63 as int)) & 1")
-    return held.filter(bit == 1).select("id", "norm").join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id"]).select(
-        "id", F.transform(F.filter(tokens(F.col("norm"), F.split("norm", " ")), lambda w: w != ""), bare).alias("t")
-    )
+    return held.filter(bit == 1).drop("bits").join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id"])
 
 
 def letters(words: Column) -> Column:
@@ -264,19 +273,34 @@ def letters(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def _parity(words: Column, low: int, of: int = 2) -> Column:
-    """64 bits, of which each word turns one, if its hash names one of these: an edit turns at most two in all ``of``."""
-    bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(of - 1) == low, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(F.xxhash64(w))))
+def _parities(held: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(id, words, names): 64 bits each, of which each word of the arrays t turns one, if its hash names one of these:
+    an edit turns at most two in all."""
+    h = F.col("h")
+    at = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    bits = [F.when(F.shiftrightunsigned(h, 6).bitwiseAND(len(names) - 1) == g, at).otherwise(F.lit(0).cast("long")) for g in range(len(names))]
+    each = held.select("id", F.explode("t").alias("word")).select("id", F.xxhash64("word").alias("h"))
+    return each.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("words"), *[F.bit_xor(b).alias(n) for b, n in zip(bits, names)])
+
+
+def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose lines' lengths and parities allow the similarity, found without their texts."""
+    of = lambda side: marks.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("words", "g0", "g1")]).hint("shuffle_hash")
+    longer = allowed(F.greatest("words_a", "words_b"), similarity)
+    turned = sum((F.bit_count(F.col(f"{g}_a").bitwiseXOR(F.col(f"{g}_b"))) for g in ("g0", "g1")), F.lit(0))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_plausible(similarity) & (turned <= 2 * longer)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, ws: Workspace) -> DataFrame:
     """The pairs whose lines have the edit similarity over words."""
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("x"), F.col("z").alias("xz"), F.col("g0").alias("x0"), F.col("g1").alias("x1"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("y"), F.col("z").alias("yz"), F.col("g0").alias("y0"), F.col("g1").alias("y1"))
-    both = pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b")
-    close = both.withColumn("allowed", allowed(F.greatest(F.size("x"), F.size("y")), similarity))
-    close = close.filter("bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= 2 * allowed").filter(F.expr("levenshtein(xz, yz, allowed)") >= 0)
+    pairs = ws.keep(pairs, "close")
+    of = lambda side, name: texts.select(F.col("id").alias(side), F.col("plain").alias(name), F.col("by_letter").alias(f"{name}l"))
+    both = of("a", "x").join(pairs.hint("shuffle_hash"), "a")
+    both = of("b", "y").join(both.hint("shuffle_hash"), "b")
+    # A number that no filter passes, and that a filter reads, so that nothing is worked out twice.
+    both = both.select("a", "b", *[words_of(F.col(c), F.col(f"{c}l")).alias(c) for c in ("x", "y")], F.monotonically_increasing_id().alias("row"))
+    both = both.select("a", "b", "x", "y", "row", allowed(F.greatest(F.size("x"), F.size("y")), similarity).alias("allowed"), letters(F.col("x")).alias("xz"), letters(F.col("y")).alias("yz"))
+    close = both.filter("row >= 0").filter(F.expr("levenshtein(xz, yz, allowed)") >= 0)
     # Where two words share a letter the words' places in the pair's own list are letters: no two share one.
     own = F.array_distinct(F.concat("x", "y"))
     told = F.size(own) == F.size(F.array_distinct(F.split(F.concat("xz", "yz"), "")))
@@ -285,45 +309,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return close.filter(exact <= F.col("allowed")).select("a", "b")
 
 
-def line_groups(lines: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
+def line_groups(sketches: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
     """(node, component) of the line classes that are linked to another."""
-    sketches = ws.keep(_sketches(lines, similarity), "sketches")
-    members = _members(sketches, ws)
-    ws.drop(sketches)
+    two, members = _members(sketches, ws)
     ws.release()
-    pairs = ws.keep(_first_pairs(members), "pairs")
-    # The texts of all classes that share a bucket are read once, for both rounds.
-    texts = _texts(lines, members.select("id").distinct(), ws)
-    texts = Workspace(lines.sparkSession, "line_texts").keep(
-        texts.select("id", "t", letters(F.col("t")).alias("z"), _parity(F.col("t"), 0).alias("g0"), _parity(F.col("t"), 1).alias("g1")), "texts"
-    )
-    marks = texts.select("id", "g0", "g1")
-    links = ws.keep(_verified(pairs, texts, similarity), "links")
+    pairs = ws.keep(_first_pairs(members).unionByName(two).distinct(), "pairs")
+    # The texts of all classes that share a bucket are taken once, for all rounds.
+    needed = members.select("id").unionByName(two.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    texts = Workspace(sketches.sparkSession, "line_texts").keep(_texts(sketches, needed, ws), "texts")
+    ws.drop(sketches)
+    marks = ws.keep(_parities(texts.select("id", words_of(F.col("plain"), F.col("by_letter")).alias("t")), ("g0", "g1")), "marks")
+    links = ws.keep(_verified(_close(pairs, marks, similarity), texts, similarity, ws), "links")
     ws.drop(pairs)
     ws.release()
     groups = ws.keep(connected(links, ws), "groups")
     # Once more with pivots among the classes outside the largest component, so that few are left for all pairs.
     mixed = _mixed(members, groups, ws)
-    again = _first_pairs(_with_pivots(mixed.filter("component != main")))
-    links = ws.keep(links.unionByName(_verified(again, texts, similarity)), "links")
-    groups = ws.keep(connected(links, ws), "groups")
-    mixed = _mixed(members, groups, ws)
     ws.drop(members)
+    again = _close(_first_pairs(_with_pivots(mixed.filter("component != main"))), marks, similarity)
+    links = ws.keep(links.unionByName(_verified(again, texts, similarity, ws)), "links")
+    groups = ws.keep(connected(links, ws), "groups")
+    mixed = _mixed(mixed, groups, ws)
     crowded = mixed.filter(F.col("rows") > CROWDED)
+    marks = marks.drop("words")
     if crowded.limit(1).count():
-        finer = ws.keep(_finer(crowded, texts, similarity), "finer")
+        finer = ws.keep(_finer(crowded, texts, similarity, ws), "finer")
         keyed = ws.keep(finer.select(F.explode("keys").alias("key"), "id", "words", "size"), "finer_keys")
-        links = ws.keep(links.unionByName(_verified(_first_pairs(_with_pivots(keyed)), texts, similarity)), "links")
+        kinds = ws.keep(marks.join(finer.drop("size", "poor").hint("shuffle_hash"), "id"), "kinds")
+        links = ws.keep(links.unionByName(_verified(_close(_first_pairs(_with_pivots(keyed)), kinds, similarity), texts, similarity, ws)), "links")
         groups = ws.keep(connected(links, ws), "groups")
         # By their old keys the classes of crowded buckets meet only where both have too few pairs of words.
         few = crowded.join(finer.filter("poor").select("id").hint("shuffle_hash"), "id", "left_semi")
         old = mixed.filter(F.col("rows") <= CROWDED).unionByName(few).select(*keyed.columns)
-        kinds = marks.join(finer.drop("words", "size", "poor").hint("shuffle_hash"), "id")
-        fine = _rest_pairs(_mixed(keyed, groups, ws), kinds, similarity)
+        fine = _rest_pairs(_mixed(keyed, groups, ws), kinds.drop("words"), similarity)
         rest = ws.keep(_rest_pairs(_mixed(old, groups, ws), marks, similarity).unionByName(fine).distinct(), "rest")
     else:
         rest = ws.keep(_rest_pairs(mixed, marks, similarity), "rest")
-    more = ws.keep(_verified(rest, texts, similarity), "more")
+    more = ws.keep(_verified(rest, texts, similarity, ws), "more")
     if more.limit(1).count():
         groups = ws.keep(connected(links.unionByName(more), ws), "groups")
     return groups
@@ -335,11 +357,11 @@ SALTS = 16
 
 def _cuts(docs: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
     """(row, line_no) of the lines to cut."""
-    lines = _lines(docs)
-    placed = ws.keep(lines.select("doc_id", "row", "line_no", "id"), "lines")
+    sketches = Workspace(docs.sparkSession, "line_sketches").keep(_sketches(_lines(docs), similarity), "sketches")
+    placed = ws.keep(sketches.select("doc_id", "row", "line_no", "id"), "lines")
     place = F.struct("doc_id", "row", "line_no")
-    classes = ws.keep(placed.filter(F.col("id") != blank()).groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    groups = line_groups(lines, ws, similarity).withColumnRenamed("node", "id")
+    classes = ws.keep(placed.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    groups = line_groups(sketches, ws, similarity).withColumnRenamed("node", "id")
     members = ws.keep(classes.select("id", "first").join(groups.hint("shuffle_hash"), "id"), "grouped")
     firsts = members.groupBy("component").agg(F.min("first").alias("first"))
     salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -348,7 +370,7 @@ def _cuts(docs: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
     ).select("id", "first")
     of_copies = classes.filter("n > 1").join(groups.hint("shuffle_hash"), "id", "left_anti").select("id", "first")
     keep = ws.keep(of_groups.unionByName(of_copies), "firsts")
-    return placed.filter(F.col("id") != blank()).join(keep.hint("shuffle_hash"), "id").filter(place != F.col("first")).select("row", "line_no")
+    return placed.join(keep.hint("shuffle_hash"), "id").filter(place != F.col("first")).select("row", "line_no")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.95) -> DataFrame:

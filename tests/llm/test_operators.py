@@ -325,6 +325,28 @@ def test_long_lines_of_one_pair_of_words_are_not_compared_in_pairs(docs_of, monk
     assert sum(rest) < 700
 
 
+def test_texts_are_read_only_for_pairs_whose_parities_allow_it(docs_of, monkeypatch):
+    """100 pairs of lines that share a chunk and little else, and 10 like ones: no texts are joined for the former."""
+    rng, rows = random.Random(41), []
+    for k in range(110):
+        own = [f"chunk{k}withalongname"] + [f"v{rng.randrange(4000)}e" for _ in range(49)]
+        other = list(own) if k < 10 else own[:1] + [f"v{rng.randrange(4000)}e" for _ in range(49)]
+        other[25] += "e"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    seen, keep = defaultdict(int), lines.Workspace.keep
+
+    def spy(self, df, label):
+        out = keep(self, df, label)
+        if label in ("pairs", "close"):
+            seen[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lines.Workspace, "keep", spy)
+    out = {r["doc_id"]: r["n_lines_cut"] for r in lines.dedup_lines(docs_of(rows)).collect()}
+    assert {i for i, n in out.items() if n} == {2 * k + 1 for k in range(10)}
+    assert seen["pairs"] >= 110 and 10 <= seen["close"] < 20
+
+
 def test_lines_odd_rows(docs_of, odd_texts):
     many = "\n".join(f"line number {k} of a long document with {k * 7} words" for k in range(3000))
     frame = docs_of([*odd_texts, (9, many), (10, many)])
