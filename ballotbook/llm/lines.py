@@ -17,7 +17,8 @@ one word in twenty (edit distance over words; ``similarity`` is 0.95). Every suc
 
 Classes are joined on equal keys: every class of a bucket with the most central class (the one whose buckets are
 largest) of the bucket and of its own length there, and once more outside the largest component, which is linear in
-the bucket. Pairs are verified on the texts. Classes of buckets of over ``CROWDED`` rows that still have several
+the bucket; a bucket of two is its own pair. Pairs whose lengths and words' parities allow the distance are verified on
+the texts. Classes of buckets of over ``CROWDED`` rows that still have several
 components get finer keys: an edit takes at most two pairs of neighbouring words from a line, so in any order of all such
 pairs the first 2 e + 1 of each of two like lines have one in common. The order is rarest first, so that lines of one
 template share a key only where the same words are changed alike. Buckets of these keys have pivots too. Last, in every
